@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tarn.llm.byte_bpe import encode_decode
 from tarn.llm.common import table
 from tarn.llm.packing import pack
 from tarn.llm.token_counts import count_tokens
@@ -23,6 +25,20 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    done = encode_decode(
+        table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crc32_of_ids(token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
@@ -31,6 +47,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_packing": op2_packing,
         "op3_token_counts": op3_token_counts,
+        "op6_byte_bpe": op6_byte_bpe,
         "op8_token_output": op8_token_output,
     }
 
