@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tarn.llm.byte_bpe import encode_decode
 from tarn.llm.common import table
+from tarn.llm.language_id import identify_language
 from tarn.llm.packing import pack
+from tarn.llm.quality_classifier import classify_quality
 from tarn.llm.token_counts import count_tokens
 from tarn.llm.token_output import crc32_of_ids, token_files
 from tarn.llm.tokenizer_files import vocabulary
@@ -25,6 +27,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,6 +57,8 @@ def queries() -> dict[str, Query]:
     return {
         "op2_packing": op2_packing,
         "op3_token_counts": op3_token_counts,
+        "op4_quality_classifier": op4_quality_classifier,
+        "op5_language_id": op5_language_id,
         "op6_byte_bpe": op6_byte_bpe,
         "op8_token_output": op8_token_output,
     }
