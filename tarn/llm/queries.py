@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tarn.llm.byte_bpe import encode_decode
 from tarn.llm.common import table
 from tarn.llm.language_id import identify_language
+from tarn.llm.near_duplicates import fingerprint_text, near_duplicate_classes
+from tarn.llm.neighbours import nearest
 from tarn.llm.packing import pack
 from tarn.llm.quality_classifier import classify_quality
 from tarn.llm.token_counts import count_tokens
@@ -53,6 +55,16 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crc32_of_ids(token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_duplicate_classes(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", fingerprint_text().alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_packing": op2_packing,
@@ -61,6 +73,8 @@ def queries() -> dict[str, Query]:
         "op5_language_id": op5_language_id,
         "op6_byte_bpe": op6_byte_bpe,
         "op8_token_output": op8_token_output,
+        "op9_nearest_neighbours": op9_nearest_neighbours,
+        "op10_near_duplicates": op10_near_duplicates,
     }
 
 
