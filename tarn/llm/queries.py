@@ -14,6 +14,7 @@ from tarn.llm.near_duplicates import fingerprint_text, near_duplicate_classes
 from tarn.llm.neighbours import nearest
 from tarn.llm.packing import pack
 from tarn.llm.quality_classifier import classify_quality
+from tarn.llm.quality_rules import judge
 from tarn.llm.token_counts import count_tokens
 from tarn.llm.token_output import crc32_of_ids, token_files
 from tarn.llm.tokenizer_files import vocabulary
@@ -21,6 +22,10 @@ from tarn.llm.tokenizer_files import vocabulary
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -67,6 +72,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op2_packing": op2_packing,
         "op3_token_counts": op3_token_counts,
         "op4_quality_classifier": op4_quality_classifier,
