@@ -4,7 +4,7 @@ Every tokenizer here splits a text by a pattern before it merges anything, and n
 match of those patterns runs from a non-space into a following space.  A text whose
 only white space is blanks and line feeds therefore tokenises as the concatenation of
 its chunks (white space, then a run of other characters), and chunks repeat, so their
-ids are kept in a bounded table.  Texts with any other white space take the direct way.
+ids are kept in bounded tables.  Texts with any other white space take the direct way.
 """
 
 from __future__ import annotations
@@ -13,40 +13,61 @@ import re
 from collections.abc import Callable
 
 CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-ODD_SPACE = re.compile("[^\\S \\n]|[\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff]")
-#: Entries kept before the table starts afresh; bounds a worker's memory.
-LIMIT = 250_000
+#: White space, or what some pattern may take for it, other than blank and line feed.
+ODD_ASCII = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+ODD_OTHER = "\x85\xa0 ᠎    　﻿" + "".join(map(chr, range(0x2000, 0x200C)))
+#: Entries kept in each table before it starts afresh; bounds a worker's memory.
+LIMIT = 700_000
+
+
+def has_odd_space(text: str) -> bool:
+    return any(c in text for c in ODD_ASCII) or (not text.isascii() and any(c in text for c in ODD_OTHER))
 
 
 class ChunkTable:
-    """Chunk -> value table; ``encode_many`` maps a list of unseen strings to their values.
+    """Chunk -> value tables; ``encode_many`` maps a list of unseen strings to their values.
 
     ``glue`` tells whether white space belongs to the chunk (it starts pieces) or only
     separates (it is dropped by the tokenizer).
     """
 
     def __init__(self, encode_many: Callable[[list[str]], list], glue: bool = True, limit: int = LIMIT):
-        self.encode_many, self.glue, self.limit, self.known = encode_many, glue, limit, {}
+        self.encode_many, self.glue, self.limit = encode_many, glue, limit
+        #: Values of chunks as they are, and of chunks that follow one blank (keyed without it).
+        self.plain: dict[str, object] = {}
+        self.after: dict[str, object] = {}
 
-    def split(self, text: str) -> list[str]:
-        if ODD_SPACE.search(text):
-            return [text]
-        return CHUNK.findall(text) if self.glue else text.replace("\n", " ").split()
+    def split(self, text: str) -> tuple[list[str], list[str]]:
+        """Chunks as they are, then chunks that each follow one blank."""
+        if has_odd_space(text):
+            return [text], []
+        if not self.glue:
+            return text.replace("\n", " ").split(), []
+        if "  " in text or "\n " in text:
+            return CHUNK.findall(text), []
+        parts = text.split(" ")
+        return parts[:1], parts[1:]
 
-    def values(self, batch: list[str]) -> list[list]:
-        """For each text, the values of its chunks in order."""
-        parts = [self.split(t) for t in batch]
-        known = self.known
-        unseen = [c for c in set().union(*parts) if c not in known]
-        if len(known) + len(unseen) > self.limit:
-            known.clear()
-            unseen = list(set().union(*parts))
+    def _fill(self, lists: list[list[str]], known: dict, before: str) -> list[list]:
+        """The values of each list, looked up in ``known``; unseen chunks are encoded together."""
+        found = [list(map(known.get, chunks)) for chunks in lists]
+        gaps = [i for i, values in enumerate(found) if None in values]
+        unseen = list({c for i in gaps for c, v in zip(lists[i], found[i], strict=True) if v is None})
+        fresh: dict = {}
         for at in range(0, len(unseen), 4096):
             some = unseen[at : at + 4096]
-            known.update(zip(some, self.encode_many(some), strict=True))
-        get = known.__getitem__
-        out = [list(map(get, p)) for p in parts]
-        for c in unseen:
-            if len(c) > 200:  # a whole text, or a run without spaces: not worth keeping
-                del known[c]
-        return out
+            fresh.update(zip(some, self.encode_many([before + c for c in some] if before else some), strict=True))
+        for i in gaps:
+            found[i] = [fresh[c] if v is None else v for c, v in zip(lists[i], found[i], strict=True)]
+        if len(known) + len(fresh) > self.limit:
+            known.clear()
+        # A whole text, or a very long run without spaces, is not worth keeping.
+        known.update((c, v) for c, v in fresh.items() if len(c) <= 200)
+        return found
+
+    def values(self, batch: list[str]) -> list[list]:
+        """For each text, the values of its chunks in order."""
+        both = [self.split(t) for t in batch]
+        plain = self._fill([b[0] for b in both], self.plain, "")
+        after = self._fill([b[1] for b in both], self.after, " ") if self.glue else None
+        return [p + a for p, a in zip(plain, after, strict=True)] if after else plain

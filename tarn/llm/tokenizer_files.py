@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
-
-import numpy as np
+import struct
 
 from tarn.llm.chunks import ChunkTable
 
@@ -29,9 +28,7 @@ def id_bytes(path: str, glue: bool) -> ChunkTable:
     tokenizer = Tokenizer.from_file(path)
 
     def encode_many(chunks: list[str]) -> list[bytes]:
-        return [
-            np.asarray(e.ids, dtype="<u4").tobytes()
-            for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        ]
+        found = [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
 
     return ChunkTable(encode_many, glue)
