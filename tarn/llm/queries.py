@@ -15,6 +15,7 @@ from tarn.llm.neighbours import nearest
 from tarn.llm.packing import pack
 from tarn.llm.quality_classifier import classify_quality
 from tarn.llm.quality_rules import judge
+from tarn.llm.repeats import find_repeats
 from tarn.llm.token_counts import count_tokens
 from tarn.llm.token_output import crc32_of_ids, token_files
 from tarn.llm.tokenizer_files import vocabulary
@@ -56,6 +57,17 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "row.doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crc32_of_ids(token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
@@ -78,6 +90,7 @@ def queries() -> dict[str, Query]:
         "op4_quality_classifier": op4_quality_classifier,
         "op5_language_id": op5_language_id,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_repeats": op7_repeats,
         "op8_token_output": op8_token_output,
         "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_near_duplicates": op10_near_duplicates,
