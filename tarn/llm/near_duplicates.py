@@ -30,10 +30,10 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MAX_BITS = 4
 
 
-def fingerprints(docs: DataFrame, words_per_shingle: int = 4) -> DataFrame:
+def fingerprints(docs: DataFrame, words_per_shingle: int = 4, id_col: str = "doc_id") -> DataFrame:
     """doc_id and fp (long, the fingerprint's bits) of every whole text; no words: 0."""
     small_batches(docs.sparkSession)
-    docs = texts(docs)
+    docs = texts(docs, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,6 +126,13 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return out
 
 
+def roots(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``distinct`` (one row per fingerprint ``fp``) with the least fingerprint of its component as ``root``."""
+    found = connected_components(links(distinct.select("fp"), max_bits))
+    joined = distinct.join(found, distinct["fp"] == found["node"], "left")
+    return joined.select(*(distinct[c] for c in distinct.columns), F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicate_classes(docs: DataFrame, words_per_shingle: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp and component_id of every row of ``docs``.
 
@@ -135,17 +142,29 @@ def near_duplicate_classes(docs: DataFrame, words_per_shingle: int = 4, max_bits
     null; an empty table gives no rows.
     """
     own = materialize(fingerprints(docs, words_per_shingle), "fingerprints")
-    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = connected_components(links(distinct.select("fp"), max_bits))
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    rooted = materialize(rooted, "roots")
+    rooted = materialize(roots(own.groupBy("fp").agg(F.min("doc_id").alias("least")), max_bits), "roots")
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(names, "root").select("fp", "component_id")
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, words_per_shingle: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, of which one stays for each component: that of the least id.
+
+    A null id counts as greater than any other; of rows with equal ids and texts one stays.
+    """
+    base = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    base = base.withColumn("rk", F.xxhash64("doc_id", "text"))
+    keyed = fingerprints(base.select(F.struct("doc_id", "rk").alias("id"), "text"), words_per_shingle, "id")
+    keyed = keyed.select(F.struct(F.col("doc_id.doc_id").isNull(), "doc_id.doc_id", "doc_id.rk").alias("rank"), "fp")
+    distinct = materialize(keyed.groupBy("fp").agg(F.min("rank").alias("rank")), "fingerprints")
+    first = roots(distinct, max_bits).groupBy("root").agg(F.min("rank").alias("rank"))
+    first = first.select(F.col("rank.rk").alias("rk"), F.col("rank.doc_id").alias("id"))
+    met = (base["rk"] == first["rk"]) & base["doc_id"].eqNullSafe(first["id"])
+    stay = base.join(first, met, "left_semi").groupBy("rk", "doc_id").agg(F.first("row").alias("row"))
+    return stay.select("row.*")
+
+
 def fingerprint_text(column: str = "fp") -> Column:
     """Sixteen lower-case hexadecimal digits."""
     return F.lpad(F.lower(F.hex(F.col(column))), 16, "0")
