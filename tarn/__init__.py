@@ -1,0 +1 @@
+"""A Spark-native analytics engine: query shapes and semantics on DataFrames, run by Catalyst."""
