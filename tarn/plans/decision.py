@@ -9,17 +9,17 @@ from pyspark.sql import DataFrame
 from tarn.plans.registry import NAMES, ORACLE, QUERIES, Tables
 
 SQL = {
-    "volume_shipping": """SELECT a.n_name AS supp_nation, b.n_name AS cust_nation, year(l_shipdate) AS l_year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+    "volume_shipping": """SELECT a.n_name AS supp_nation, b.n_name AS cust_nation, year(l_shipdate) AS l_year, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
         FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
         JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON c_nationkey = b.n_nationkey
         WHERE a.n_regionkey = 1 AND b.n_regionkey = 2 GROUP BY a.n_name, b.n_name, year(l_shipdate)""",
-    "returned_items": """SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, n_name FROM customer JOIN orders ON c_custkey = o_custkey
+    "returned_items": """SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, n_name FROM customer JOIN orders ON c_custkey = o_custkey
         JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey WHERE l_returnflag = 'R' GROUP BY c_custkey, c_name, n_name""",
     "customer_distribution": """SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey
         AND o_orderpriority <> '1-URGENT' GROUP BY c_custkey) x GROUP BY c_count""",
     "promotion_effect": """SELECT round(100.0 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS promo_revenue
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
-    "top_supplier": """WITH revenue AS (SELECT l_suppkey AS supplier_no, round(sum(l_extendedprice * (1 - l_discount)), 2) AS total_revenue FROM lineitem GROUP BY l_suppkey)
+    "top_supplier": """WITH revenue AS (SELECT l_suppkey AS supplier_no, round(sum(l_extendedprice * (1 - l_discount)), 4) AS total_revenue FROM lineitem GROUP BY l_suppkey)
         SELECT s_suppkey, s_name, total_revenue FROM supplier JOIN revenue ON s_suppkey = supplier_no WHERE total_revenue = (SELECT max(total_revenue) FROM revenue)""",
     "parts_supplier_relationship": """SELECT p_brand, p_type, p_size, count(DISTINCT l_suppkey) AS supplier_cnt FROM lineitem JOIN part ON p_partkey = l_partkey
         WHERE p_size IN (1, 4, 9, 15, 25, 36, 49) AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY p_brand, p_type, p_size""",
@@ -27,7 +27,7 @@ SQL = {
         WHERE l_quantity < (SELECT 0.4 * avg(i.l_quantity) FROM lineitem i WHERE i.l_partkey = p_partkey)""",
     "large_volume_customers": """SELECT c_name, c_custkey, o_orderkey, o_totalprice, sum(l_quantity) AS qty FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey
         WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 150) GROUP BY c_name, c_custkey, o_orderkey, o_totalprice""",
-    "discounted_revenue": """SELECT round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN part ON p_partkey = l_partkey
+    "discounted_revenue": """SELECT round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lineitem JOIN part ON p_partkey = l_partkey
         WHERE (p_size BETWEEN 1 AND 10 AND l_quantity BETWEEN 1 AND 20) OR (p_size BETWEEN 11 AND 30 AND l_quantity BETWEEN 10 AND 30) OR (p_size > 40 AND l_discount > 0.05)""",
     "waiting_orders": """SELECT s_name, count(*) AS numwait FROM supplier JOIN lineitem a ON s_suppkey = a.l_suppkey JOIN orders ON o_orderkey = a.l_orderkey WHERE o_orderstatus = 'F'
         AND EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_suppkey <> a.l_suppkey)
@@ -36,7 +36,7 @@ SQL = {
         AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') GROUP BY c_nationkey""",
     "market_share": """SELECT year(o_orderdate) AS o_year, round(sum(CASE WHEN n.n_name = 'BRAZIL' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS share
         FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation n ON s_nationkey = n.n_nationkey GROUP BY year(o_orderdate)""",
-    "product_profit": """SELECT n_name AS nation, year(o_orderdate) AS o_year, round(sum(l_extendedprice * (1 - l_discount) - 10 * l_quantity), 2) AS profit FROM part JOIN lineitem ON p_partkey = l_partkey
+    "product_profit": """SELECT n_name AS nation, year(o_orderdate) AS o_year, round(sum(l_extendedprice * (1 - l_discount) - 10 * l_quantity), 4) AS profit FROM part JOIN lineitem ON p_partkey = l_partkey
         JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN nation ON s_nationkey = n_nationkey WHERE p_name LIKE '%a%' GROUP BY n_name, year(o_orderdate)""",
     "year_over_year": """WITH m AS (SELECT year(o_orderdate) AS y, c_mktsegment AS seg, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
         SELECT y, seg, total, round(total - lag(total) OVER (PARTITION BY seg ORDER BY y), 2) AS change, rank() OVER (PARTITION BY y ORDER BY total DESC) AS place FROM m""",
@@ -44,7 +44,7 @@ SQL = {
         SELECT y0, year(o_orderdate) - y0 AS age, count(DISTINCT o.o_custkey) AS customers FROM orders o JOIN f ON o.o_custkey = f.o_custkey GROUP BY y0, year(o_orderdate) - y0""",
     "event_funnel": """WITH u AS (SELECT user_id, min(CASE WHEN event_type = 'view' THEN ts END) AS v, min(CASE WHEN event_type = 'click' THEN ts END) AS c, min(CASE WHEN event_type = 'purchase' THEN ts END) AS p FROM events GROUP BY user_id)
         SELECT count(*) AS users, count(v) AS viewed, count(CASE WHEN c > v THEN 1 END) AS clicked, count(CASE WHEN p > c AND c > v THEN 1 END) AS bought FROM u""",
-    "lateral_column_alias": "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, round(net * (1 + l_tax), 2) AS gross FROM lineitem WHERE l_orderkey < 100",
+    "lateral_column_alias": "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, round(net * (1 + l_tax), 6) AS gross FROM lineitem WHERE l_orderkey < 100",
     "group_by_sum_h2o": "SELECT l_returnflag, l_suppkey, round(sum(l_quantity), 2) AS v1, round(avg(l_extendedprice), 4) AS v3 FROM lineitem GROUP BY l_returnflag, l_suppkey",
     "top_two_per_group_h2o": "SELECT l_suppkey, l_extendedprice AS largest FROM (SELECT l_suppkey, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC) AS place FROM lineitem) x WHERE place <= 2",
     "label_statistics": "SELECT lang, source, count(*) AS n, sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang, source",

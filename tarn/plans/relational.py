@@ -15,20 +15,20 @@ def money(c, n: int = 2):
 
 
 @query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity),2) sum_qty, round(sum(l_extendedprice),2) sum_base_price,
-round(sum(l_extendedprice*(1-l_discount)),2) sum_disc_price, round(avg(l_quantity),4) avg_qty, count(*) count_order
+round(sum(l_extendedprice*(1-l_discount)),4) sum_disc_price, round(avg(l_quantity),4) avg_qty, count(*) count_order
 FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
 def pricing_summary(t: Tables) -> DataFrame:
     li = t.lineitem.where("l_shipdate <= TIMESTAMP_NTZ '1998-09-02'")
     return li.groupBy("l_returnflag", "l_linestatus").agg(
         money(F.sum("l_quantity")).alias("sum_qty"),
         money(F.sum("l_extendedprice")).alias("sum_base_price"),
-        money(F.sum(F.expr("l_extendedprice*(1-l_discount)"))).alias("sum_disc_price"),
+        money(F.sum(F.expr("l_extendedprice*(1-l_discount)")), 4).alias("sum_disc_price"),
         money(F.avg("l_quantity"), 4).alias("avg_qty"),
         F.count("*").alias("count_order"),
     )
 
 
-@query("""SELECT n_name, round(sum(l_extendedprice*(1-l_discount)),2) revenue FROM customer JOIN orders ON c_custkey=o_custkey
+@query("""SELECT n_name, round(sum(l_extendedprice*(1-l_discount)),4) revenue FROM customer JOIN orders ON c_custkey=o_custkey
 JOIN lineitem ON l_orderkey=o_orderkey JOIN supplier ON l_suppkey=s_suppkey AND c_nationkey=s_nationkey
 JOIN nation ON s_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey WHERE r_name='ASIA' GROUP BY n_name""")
 def local_supplier_volume(t: Tables) -> DataFrame:
@@ -39,22 +39,22 @@ def local_supplier_volume(t: Tables) -> DataFrame:
         .join(t.nation, F.expr("s_nationkey = n_nationkey"))
         .join(t.region.where("r_name = 'ASIA'"), F.expr("n_regionkey = r_regionkey"))
     )
-    return joined.groupBy("n_name").agg(money(F.sum(F.expr("l_extendedprice*(1-l_discount)"))).alias("revenue"))
+    return joined.groupBy("n_name").agg(money(F.sum(F.expr("l_extendedprice*(1-l_discount)")), 4).alias("revenue"))
 
 
-@query("""SELECT round(sum(l_extendedprice*l_discount),2) revenue FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_quantity<24""")
+@query("""SELECT round(sum(l_extendedprice*l_discount),4) revenue FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_quantity<24""")
 def forecast_revenue(t: Tables) -> DataFrame:
     li = t.lineitem.where("l_discount BETWEEN 0.05D AND 0.07D AND l_quantity < 24")
-    return li.agg(money(F.sum(F.expr("l_extendedprice*l_discount"))).alias("revenue"))
+    return li.agg(money(F.sum(F.expr("l_extendedprice*l_discount")), 4).alias("revenue"))
 
 
-@query("""SELECT l_orderkey, round(sum(l_extendedprice*(1-l_discount)),2) revenue, o_orderdate FROM customer, orders, lineitem
+@query("""SELECT l_orderkey, round(sum(l_extendedprice*(1-l_discount)),4) revenue, o_orderdate FROM customer, orders, lineitem
 WHERE c_mktsegment='BUILDING' AND c_custkey=o_custkey AND l_orderkey=o_orderkey GROUP BY l_orderkey, o_orderdate
 ORDER BY revenue DESC, l_orderkey LIMIT 10""")
 def shipping_priority(t: Tables) -> DataFrame:
     j = t.customer.where("c_mktsegment = 'BUILDING'").join(t.orders, F.expr("c_custkey = o_custkey"))
     j = j.join(t.lineitem, F.expr("l_orderkey = o_orderkey")).groupBy("l_orderkey", "o_orderdate")
-    revenue = money(F.sum(F.expr("l_extendedprice*(1-l_discount)"))).alias("revenue")
+    revenue = money(F.sum(F.expr("l_extendedprice*(1-l_discount)")), 4).alias("revenue")
     return j.agg(revenue).orderBy(F.desc("revenue"), "l_orderkey").limit(10)
 
 
