@@ -16,8 +16,8 @@ CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space, or what some pattern may take for it, other than blank and line feed.
 ODD_ASCII = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 ODD_OTHER = "\x85\xa0 ᠎    　﻿" + "".join(map(chr, range(0x2000, 0x200C)))
-#: Entries kept in each table before it starts afresh; bounds a worker's memory.
-LIMIT = 700_000
+#: Entries of a generation of a table: with the one before it, they bound a worker's memory.
+LIMIT = 300_000
 
 
 def has_odd_space(text: str) -> bool:
@@ -33,9 +33,10 @@ class ChunkTable:
 
     def __init__(self, encode_many: Callable[[list[str]], list], glue: bool = True, limit: int = LIMIT):
         self.encode_many, self.glue, self.limit = encode_many, glue, limit
-        #: Values of chunks as they are, and of chunks that follow one blank (keyed without it).
-        self.plain: dict[str, object] = {}
-        self.after: dict[str, object] = {}
+        #: Values of chunks as they are, and of chunks that follow one blank (keyed without it);
+        #: each has a young generation and the one before, from which what is used moves back.
+        self.plain: list[dict[str, object]] = [{}, {}]
+        self.after: list[dict[str, object]] = [{}, {}]
 
     def split(self, text: str) -> tuple[list[str], list[str]]:
         """Chunks as they are, then chunks that each follow one blank."""
@@ -48,21 +49,23 @@ class ChunkTable:
         parts = text.split(" ")
         return parts[:1], parts[1:]
 
-    def _fill(self, lists: list[list[str]], known: dict, before: str) -> list[list]:
-        """The values of each list, looked up in ``known``; unseen chunks are encoded together."""
-        found = [list(map(known.get, chunks)) for chunks in lists]
+    def _fill(self, lists: list[list[str]], generations: list[dict], before: str) -> list[list]:
+        """The values of each list; unseen chunks are encoded together."""
+        young, old = generations
+        found = [list(map(young.get, chunks)) for chunks in lists]
         gaps = [i for i, values in enumerate(found) if None in values]
         unseen = list({c for i in gaps for c, v in zip(lists[i], found[i], strict=True) if v is None})
-        fresh: dict = {}
+        fresh = {c: old[c] for c in unseen if c in old}
+        unseen = [c for c in unseen if c not in fresh]
         for at in range(0, len(unseen), 4096):
             some = unseen[at : at + 4096]
             fresh.update(zip(some, self.encode_many([before + c for c in some] if before else some), strict=True))
         for i in gaps:
             found[i] = [fresh[c] if v is None else v for c, v in zip(lists[i], found[i], strict=True)]
-        if len(known) + len(fresh) > self.limit:
-            known.clear()
         # A whole text, or a very long run without spaces, is not worth keeping.
-        known.update((c, v) for c, v in fresh.items() if len(c) <= 200)
+        young.update((c, v) for c, v in fresh.items() if len(c) <= 200)
+        if len(young) > self.limit:
+            generations[:] = {}, young
         return found
 
     def values(self, batch: list[str]) -> list[list]:

@@ -77,8 +77,8 @@ def write_token_ids(docs: DataFrame, out: str, path: str, end_id: int = 1) -> No
 def read_token_ids(spark: SparkSession, out: str, doc_id_type: str = "bigint") -> DataFrame:
     """The documents of a data set with their global start: doc_id, start, n_tokens, ids.
 
-    The totals per file (one row each) are summed in file order; they grow with the number
-    of files only.
+    The totals per file (one row of two numbers each) are summed in file order and broadcast:
+    there are as many as the write had range partitions, whatever the documents.
     """
     schema = f"doc_id {doc_id_type}, part int, part_start long, n_tokens long, ids array<int>"
     rows = spark.read.schema(schema).orc(out)
@@ -87,7 +87,7 @@ def read_token_ids(spark: SparkSession, out: str, doc_id_type: str = "bigint") -
     bases = totals.select(
         F.col("part").alias("base_part"), F.coalesce(F.sum("part_tokens").over(before), F.lit(0)).alias("base")
     )
-    return rows.join(bases, rows["part"] == bases["base_part"]).select(
+    return rows.join(F.broadcast(bases), rows["part"] == bases["base_part"]).select(
         "doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids"
     )
 
