@@ -24,7 +24,7 @@ from tarn.llm.common import id_type, materialize, small_batches
 #: Bytes of a string whose repetition counts, and of a gram.
 LEAST, GRAM = 400, 64
 #: Different passages of one gram that a batch may hold, and bytes after which a batch is closed.
-HOT, BATCH_BYTES = 2_048, 1 << 20
+HOT, BATCH_BYTES = 4_096, 1 << 20
 #: Window starts handled at once, so that a very long text takes bounded memory.
 BLOCK = 1 << 19
 PLACE = np.uint64((1 << 20) - 1)
@@ -223,17 +223,18 @@ def spans(own: DataFrame) -> DataFrame:
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` (in the struct ``row``) with n_bytes, spans and kept.
+    """doc_id, rest (a struct of the other columns), n_bytes, spans, kept and had_text for every row of ``docs``.
 
     ``spans`` are the maximal removed byte ranges (start, stop), ``kept`` the remaining bytes.
-    A null text is empty; texts under 400 bytes keep everything; equal rows lose the same
-    bytes, as each repeats in the other; matches never cross documents; an empty table gives
-    no rows.
+    A null text is empty (had_text is false); texts under 400 bytes keep everything; equal
+    rows lose the same bytes, as each repeats in the other; matches never cross documents; an
+    empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    base = docs.select(
-        F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")
-    ).withColumn("rk", F.xxhash64("doc_id", "text"))
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    rest = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(None).cast("struct<none:int>")
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), rest.alias("rest"))
+    base = base.withColumn("rk", F.xxhash64("doc_id", "text"))
     found = spans(base.select("rk", "doc_id", "text"))
     lists = found.groupBy("rk", "doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     lists = lists.withColumnsRenamed({"rk": "rk2", "doc_id": "id2"})
@@ -243,20 +244,23 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, gone, kept = [], [], []
-            for data, own in zip(_bytes_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for data, own in zip(_bytes_of(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 cuts = merged([(s["start"], s["stop"]) for s in own or []])
                 edges = [0, *(x for c in cuts for x in c), len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                 sizes.append(len(data))
                 gone.append([{"start": a, "stop": b} for a, b in cuts])
+            made = [pa.array(sizes, pa.int64()), pa.array(gone, kind), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, kind), pa.array(kept, pa.binary())],
-                names=["row", "n_bytes", "spans", "kept"],
+                [batch.column(0), batch.column(1), *made, batch.column(2).is_valid()],
+                names=["doc_id", "rest", "n_bytes", "spans", "kept", "had_text"],
             )
 
-    row = base.schema["row"].dataType.simpleString()
-    return joined.select("row", "text", "spans").mapInArrow(
-        run, f"row {row}, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, kept binary"
+    rest_type = base.schema["rest"].dataType.simpleString()
+    return joined.select("doc_id", "rest", "text", "spans").mapInArrow(
+        run,
+        f"doc_id {id_type(base)}, rest {rest_type}, n_bytes long, spans array<struct<start:bigint,stop:bigint>>,"
+        " kept binary, had_text boolean",
     )
 
 
@@ -266,14 +270,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     Parts of a character left over at a cut are dropped.  Null texts stay null.
     """
     found = find_repeats(docs)
-    text = F.when(F.col("row.text").isNull(), F.lit(None)).when(
-        F.size("spans") == 0, F.col("row.text")
-    ).otherwise(F.replace(F.call_function("make_valid_utf8", F.col("kept").cast("string")), F.lit("�"), F.lit("")))
-    out = found.withColumn("new_text", text)
+    kept = F.call_function("make_valid_utf8", F.col("kept").cast("string"))
+    kept = F.when(F.size("spans") == 0, kept).otherwise(F.replace(kept, F.lit("\ufffd"), F.lit("")))
+    out = found.withColumn("new_text", F.when(F.col("had_text"), kept))
     columns = [
-        F.col("new_text").alias(c) if c == "text"
+        F.col("doc_id") if c == "doc_id"
+        else F.col("new_text").alias(c) if c == "text"
         else F.length("new_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
-        else F.col("row").getField(c).alias(c)
+        else F.col("rest").getField(c).alias(c)
         for c in docs.columns
     ]
     return out.select(*columns)

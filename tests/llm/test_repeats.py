@@ -79,7 +79,7 @@ def test_odd_and_whole_tables(spark, odd_docs, no_docs):
     cut = repeats.without_repeats(docs)
     assert cut.schema == docs.schema
     text = {r.doc_id: r.text for r in docs.collect()}
-    rows = repeats.find_repeats(docs).select("row.doc_id", "n_bytes", "spans", "kept").collect()
+    rows = repeats.find_repeats(docs).select("doc_id", "n_bytes", "spans", "kept").collect()
     want = dict(zip(text, plain([t.encode() for t in text.values()], 400)))
     for r in rows:
         n = sum(s.stop - s.start for s in r.spans)
