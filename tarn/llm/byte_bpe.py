@@ -39,6 +39,7 @@ class BytePairVocabulary:
         self._left: dict[int, list[int]] = {}
         self._right: dict[int, list[int]] = {}
         self._pairs: dict[int, bool] = {}
+        self._made: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for piece, rank in ranks.items():
             self.automaton.add_word(piece.decode("latin-1"), (len(piece), rank))
@@ -105,7 +106,32 @@ class BytePairVocabulary:
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one piece of a split text; a piece that is a token is that token."""
         rank = self.ranks.get(piece)
-        return [rank] if rank is not None else PrefixTable(self, piece).ids()
+        if rank is not None:
+            return [rank]
+        table = PrefixTable(self)
+        table.data, table.last = piece, self.last_tokens(piece)
+        return table.ids()
+
+    def last_tokens(self, data: bytes) -> list[int]:
+        """The last token of every prefix; matches may come in any order, as just one stands."""
+        last = [-1] * len(data)
+        pairs, made, stands = self._pairs, self._made, self.stands
+        for end, (length, rank) in self.automaton.iter(data.decode("latin-1")):
+            if last[end] < 0:
+                own = made.get(rank)
+                if own is None:
+                    own = made[rank] = self.made(rank)
+                if own:
+                    before = end - length
+                    if before < 0:
+                        last[end] = rank
+                    else:
+                        known = pairs.get(last[before] << 32 | rank)
+                        if known or known is None and stands(last[before], rank):
+                            last[end] = rank
+        if -1 in last:
+            raise ValueError("the vocabulary lacks single bytes")
+        return last
 
 
 class PrefixTable:
@@ -183,12 +209,19 @@ class TextCodec:
 
         self.vocabulary = BytePairVocabulary(ranks)
         self.pieces = regex.compile(pattern).findall
+        #: Whether the pattern takes a run of letters, with a blank before it or not, as one match.
+        self.words = r" ?\p{L}+" in pattern.split("|") and pattern.split("|")[0].startswith("'")
         self.known: dict[str, list[int]] = {}
         self.table = ChunkTable(lambda chunks: [self.encode_ids(c) for c in chunks])
 
     def encode_ids(self, text: str) -> bytes:
         out: list[int] = []
-        for piece in self.pieces(text):
+        word, stop = (text[:-1], text[-1]) if text[-1:] in (".", ",") else (text, "")
+        if self.words and (word[1:] if word[:1] == " " else word).isalpha():
+            pieces = [word, stop] if stop else [word]  # one word, and perhaps one stop: the pattern's matches
+        else:
+            pieces = self.pieces(text)
+        for piece in pieces:
             ids = self.known.get(piece)
             if ids is None:
                 ids = self.vocabulary.encode(piece.encode("utf-8", "replace"))
