@@ -23,13 +23,13 @@ from tarn.llm.common import materialize, small_batches
 #: Vectors the centroids are fitted on at most (in expectation): a bounded sample by a hash of the id.
 MAX_SAMPLE = 20_000
 #: Vectors in a posting list on average, and centroids at most.
-LIST_SIZE, MAX_LISTS = 200, 4_096
+LIST_SIZE, MAX_LISTS = 1_000, 4_096
 #: A vector is replicated to lists whose centroid is at most so many times as far as its nearest, up to COPIES.
 BORDER_RATIO, COPIES = 1.10, 4
 #: A query reads lists up to so many times as far as its nearest centroid.
-QUERY_RATIO = 1.45
-#: Neighbours of a centroid in the graph, and the breadth of the search for assignments and queries.
-DEGREE, BREADTH = 24, 64
+QUERY_RATIO = 1.15
+#: Neighbours of a centroid in the graph, and the breadth at which a search for lists starts.
+DEGREE, BREADTH = 16, 16
 #: Rows of a posting list that one task holds.
 BLOCK = 8_192
 
@@ -229,8 +229,8 @@ def nearest(
         found = []
         if len(left) and len(right):
             found = best_pairs(
-                left["vec_id"].to_numpy(), np.array(left["vec"].tolist()),
-                right["vec_id"].to_numpy(), np.array(right["vec"].tolist()), k,
+                left["vec_id"].to_numpy(), np.vstack(left["vec"].to_numpy()),
+                right["vec_id"].to_numpy(), np.vstack(right["vec"].to_numpy()), k,
             )
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
