@@ -94,8 +94,17 @@ def sequence_values(t: Tables) -> DataFrame:
 
 @query("SELECT e.event_id, CAST(epoch_us(timezone('America/New_York', timezone('UTC', ts))) AS BIGINT) AS local FROM events e WHERE event_id < 1000")
 def time_zones(t: Tables) -> DataFrame:
+    return _time_zones(t.events.where("event_id < 1000"))
+
+
+@query("SELECT e.event_id, CAST(epoch_us(timezone('America/New_York', timezone('UTC', ts))) AS BIGINT) AS local FROM events e")
+def time_zones_whole(t: Tables) -> DataFrame:
+    return _time_zones(t.events)
+
+
+def _time_zones(e: DataFrame) -> DataFrame:
     local = F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), F.col("ts"))
-    return t.events.where("event_id < 1000").select("event_id", F.unix_micros(local.cast("timestamp")).alias("local"))
+    return e.select("event_id", F.unix_micros(local.cast("timestamp")).alias("local"))
 
 
 @query("WITH RECURSIVE f(n, a, b) AS (SELECT 1, 0, 1 UNION ALL SELECT n+1, b, a+b FROM f WHERE n < 20) SELECT n, a FROM f")

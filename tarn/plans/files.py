@@ -15,6 +15,11 @@ def parquet_scan_with_pushdown(t: Tables) -> DataFrame:
     return files.read_parquet(t.spark, t.path("lineitem")).where("l_quantity > 49 AND l_orderkey < 800").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 49")
+def parquet_scan_with_pushdown_whole(t: Tables) -> DataFrame:
+    return files.read_parquet(t.spark, t.path("lineitem")).where("l_quantity > 49").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
 @query("SELECT CAST(count(*) AS BIGINT) n, CAST(count(DISTINCT n_nationkey) AS BIGINT) rows, true AS one FROM nation")
 def parquet_scan_with_file_columns(t: Tables) -> DataFrame:
     own = files.read_parquet(t.spark, t.path("nation"), filename=True, row_number=True)

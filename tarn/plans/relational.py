@@ -93,7 +93,15 @@ def left_join(t: Tables) -> DataFrame:
 
 @query("""SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey<400) c FULL JOIN (SELECT * FROM orders WHERE o_custkey>350 AND o_custkey<500) o ON c_custkey=o_custkey""")
 def full_join(t: Tables) -> DataFrame:
-    c, o = t.customer.where("c_custkey < 400"), t.orders.where("o_custkey > 350 AND o_custkey < 500")
+    return _full_join(t.customer.where("c_custkey < 400"), t.orders.where("o_custkey > 350 AND o_custkey < 500"))
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer FULL JOIN orders ON c_custkey=o_custkey")
+def full_join_whole(t: Tables) -> DataFrame:
+    return _full_join(t.customer, t.orders)
+
+
+def _full_join(c: DataFrame, o: DataFrame) -> DataFrame:
     return c.join(o, F.expr("c_custkey = o_custkey"), "full").select("c_custkey", "o_orderkey")
 
 
@@ -179,22 +187,49 @@ def positional_join(t: Tables) -> DataFrame:
 
 @query("SELECT c_custkey, c_custkey IN (SELECT CASE WHEN o_custkey%7=0 THEN NULL ELSE o_custkey END FROM orders WHERE o_custkey<100) AS mark FROM customer WHERE c_custkey < 200")
 def mark_join(t: Tables) -> DataFrame:
-    some = t.orders.where("o_custkey < 100").select(F.expr("CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_custkey END k"))
-    return joins.mark_join(t.customer.where("c_custkey < 200").select("c_custkey"), some, "c_custkey", "k")
+    return _mark_join(t.customer.where("c_custkey < 200"), t.orders.where("o_custkey < 100"))
+
+
+@query("SELECT c_custkey, c_custkey IN (SELECT CASE WHEN o_custkey%7=0 THEN NULL ELSE o_custkey END FROM orders) AS mark FROM customer")
+def mark_join_whole(t: Tables) -> DataFrame:
+    return _mark_join(t.customer, t.orders)
+
+
+def _mark_join(c: DataFrame, o: DataFrame) -> DataFrame:
+    some = o.select(F.expr("CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_custkey END k"))
+    return joins.mark_join(c.select("c_custkey"), some, "c_custkey", "k")
 
 
 @query("SELECT count(*) AS n FROM (SELECT nullif(o_custkey%5,0) k FROM orders WHERE o_orderkey<300) a JOIN (SELECT nullif(c_custkey%5,0) j FROM customer WHERE c_custkey<50) b ON k IS NOT DISTINCT FROM j")
 def null_safe_join(t: Tables) -> DataFrame:
-    a = t.orders.where("o_orderkey < 300").selectExpr("nullif(o_custkey % 5, 0) k").groupBy("k").agg(F.count("*").alias("x"))
-    b = t.customer.where("c_custkey < 50").selectExpr("nullif(c_custkey % 5, 0) j").groupBy("j").agg(F.count("*").alias("y"))
+    return _null_safe_join(t.orders.where("o_orderkey < 300"), t.customer.where("c_custkey < 50"))
+
+
+@query("SELECT count(*) AS n FROM (SELECT nullif(o_custkey%5,0) k FROM orders) a JOIN (SELECT nullif(c_custkey%5,0) j FROM customer) b ON k IS NOT DISTINCT FROM j")
+def null_safe_join_whole(t: Tables) -> DataFrame:
+    return _null_safe_join(t.orders, t.customer)
+
+
+def _null_safe_join(o: DataFrame, c: DataFrame) -> DataFrame:
+    a = o.selectExpr("nullif(o_custkey % 5, 0) k").groupBy("k").agg(F.count("*").alias("x"))
+    b = c.selectExpr("nullif(c_custkey % 5, 0) j").groupBy("j").agg(F.count("*").alias("y"))
     return a.join(b, F.col("k").eqNullSafe(F.col("j"))).agg(F.sum(F.col("x") * F.col("y")).alias("n"))
 
 
 @query("SELECT c_custkey, o_orderkey, o_totalprice FROM customer, LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey=c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) WHERE c_custkey < 300")
 def lateral_top_two(t: Tables) -> DataFrame:
+    return _lateral_top_two(t.customer.where("c_custkey < 300"), t.orders)
+
+
+@query("SELECT c_custkey, o_orderkey, o_totalprice FROM customer, LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey=c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2)")
+def lateral_top_two_whole(t: Tables) -> DataFrame:
+    return _lateral_top_two(t.customer, t.orders)
+
+
+def _lateral_top_two(c: DataFrame, o: DataFrame) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    top = relational.qualify(t.orders, F.row_number().over(w), lambda n: n <= 2)
-    j = t.customer.where("c_custkey < 300").join(top, F.expr("o_custkey = c_custkey"))
+    top = relational.qualify(o, F.row_number().over(w), lambda n: n <= 2)
+    j = c.join(top, F.expr("o_custkey = c_custkey"))
     return j.select("c_custkey", "o_orderkey", "o_totalprice")
 
 
@@ -306,14 +341,31 @@ def product(t: Tables) -> DataFrame:
     return li.agg(F.round(F.ln(F.product(1 + F.col("l_discount") / 100)), 6).alias("p"))
 
 
+@query("SELECT round(sum(ln(1 + l_discount/100)),6) p FROM lineitem")
+def product_whole(t: Tables) -> DataFrame:
+    """By the sum of logarithms, as the product itself overflows on large tables."""
+    return t.lineitem.agg(F.round(F.sum(F.ln(1 + F.col("l_discount") / 100)), 6).alias("p"))
+
+
 @query("""SELECT o_orderkey, row_number() OVER w rn, rank() OVER v rk, dense_rank() OVER v dr, round(percent_rank() OVER v,6) pr, round(cume_dist() OVER v,6) cd, ntile(4) OVER w nt,
 lag(o_orderkey,1,-1) OVER w lg, lead(o_orderkey,2) OVER w ld, first_value(o_orderkey) OVER w fv, nth_value(o_orderkey,2) OVER w nv
 FROM orders WHERE o_custkey < 500 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), v AS (PARTITION BY o_custkey ORDER BY o_orderstatus)""")
 def ranking_windows(t: Tables) -> DataFrame:
+    return _ranking_windows(t.orders.where("o_custkey < 500"))
+
+
+@query("""SELECT o_orderkey, row_number() OVER w rn, rank() OVER v rk, dense_rank() OVER v dr, round(percent_rank() OVER v,6) pr, round(cume_dist() OVER v,6) cd, ntile(4) OVER w nt,
+lag(o_orderkey,1,-1) OVER w lg, lead(o_orderkey,2) OVER w ld, first_value(o_orderkey) OVER w fv, nth_value(o_orderkey,2) OVER w nv
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), v AS (PARTITION BY o_custkey ORDER BY o_orderstatus)""")
+def ranking_windows_whole(t: Tables) -> DataFrame:
+    return _ranking_windows(t.orders)
+
+
+def _ranking_windows(o: DataFrame) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     v = Window.partitionBy("o_custkey").orderBy("o_orderstatus")
     long = lambda c: c.cast("long")
-    return t.orders.where("o_custkey < 500").select(
+    return o.select(
         "o_orderkey", long(F.row_number().over(w)).alias("rn"), long(F.rank().over(v)).alias("rk"),
         long(F.dense_rank().over(v)).alias("dr"), F.round(F.percent_rank().over(v), 6).alias("pr"),
         F.round(F.cume_dist().over(v), 6).alias("cd"), long(F.ntile(4).over(w)).alias("nt"),
@@ -406,11 +458,21 @@ def except_distinct(t: Tables) -> DataFrame:
     return t.customer.selectExpr("c_nationkey k").subtract(t.supplier.where("s_suppkey < 30").selectExpr("s_nationkey"))
 
 
+@query("SELECT c_nationkey k FROM customer EXCEPT SELECT s_nationkey FROM supplier")
+def except_distinct_whole(t: Tables) -> DataFrame:
+    return t.customer.selectExpr("c_nationkey k").subtract(t.supplier.selectExpr("s_nationkey"))
+
+
 @query("SELECT c_nationkey k FROM customer WHERE c_custkey<300 EXCEPT ALL SELECT s_nationkey FROM supplier")
 def except_all(t: Tables) -> DataFrame:
     return t.customer.where("c_custkey < 300").selectExpr("c_nationkey k").exceptAll(t.supplier.selectExpr("s_nationkey"))
 
 
+@query("SELECT c_nationkey k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+def except_all_whole(t: Tables) -> DataFrame:
+    return t.customer.selectExpr("c_nationkey k").exceptAll(t.supplier.selectExpr("s_nationkey"))
+
+
 @query("SELECT c_nationkey k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
 def intersect_all(t: Tables) -> DataFrame:
     return t.customer.selectExpr("c_nationkey k").intersectAll(t.supplier.selectExpr("s_nationkey"))

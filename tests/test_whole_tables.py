@@ -1,0 +1,25 @@
+"""Each query that runs over an id subset has a twin that runs over the whole tables."""
+
+import pytest
+
+from tarn.plans import load
+
+SF = "/root/testdata/sf0.01"
+QUERIES, ORACLE = load()
+SUBSETS = (
+    "ranking_windows full_join mark_join null_safe_join lateral_top_two product except_all except_distinct unnest"
+    " json_patch_and_contains time_zones lateral_column_alias parquet_scan_with_pushdown"
+).split()
+#: Table whose rows, or a column's different values, are the twin's rows.
+ROWS = {
+    "ranking_windows": "orders", "mark_join": "customer", "unnest": "orders", "json_patch_and_contains": "events",
+    "time_zones": "events", "lateral_column_alias": "lineitem",
+}
+
+
+@pytest.mark.parametrize("name", SUBSETS)
+def test_twin_reads_every_row(spark, name):
+    assert name in ORACLE and f"{name}_whole" in ORACLE
+    if name in ROWS:
+        rows = spark.read.parquet(f"{SF}/{ROWS[name]}.parquet").count()
+        assert QUERIES[f"{name}_whole"](spark, SF).count() == rows
