@@ -89,6 +89,16 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def whole_characters(data: bytes, start: int, stop: int) -> bytes:
+    """``data[start:stop]`` of UTF-8 without the parts of characters that it shares with what lies outside."""
+    while start < stop and data[start] & 0xC0 == 0x80:
+        start += 1
+    end = stop
+    while start < end < len(data) and data[end] & 0xC0 == 0x80:
+        end -= 1
+    return data[start:end]
+
+
 def _bytes_of(texts: pa.Array) -> list[bytes]:
     return [(t or "").encode("utf-8", "replace") for t in texts.to_pylist()]
 
@@ -222,10 +232,13 @@ def spans(own: DataFrame) -> DataFrame:
     )
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", characters: bool = False
+) -> DataFrame:
     """doc_id, rest (a struct of the other columns), n_bytes, spans, kept and had_text for every row of ``docs``.
 
-    ``spans`` are the maximal removed byte ranges (start, stop), ``kept`` the remaining bytes.
+    ``spans`` are the maximal removed byte ranges (start, stop), ``kept`` the remaining bytes,
+    with ``characters`` without the parts of characters left over at a cut.
     A null text is empty (had_text is false); texts under 400 bytes keep everything; equal
     rows lose the same bytes, as each repeats in the other; matches never cross documents; an
     empty table gives no rows.
@@ -247,7 +260,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for data, own in zip(_bytes_of(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 cuts = merged([(s["start"], s["stop"]) for s in own or []])
                 edges = [0, *(x for c in cuts for x in c), len(data)]
-                kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+                pieces = zip(edges[::2], edges[1::2], strict=True)
+                kept.append(b"".join(whole_characters(data, a, b) if characters else data[a:b] for a, b in pieces))
                 sizes.append(len(data))
                 gone.append([{"start": a, "stop": b} for a, b in cuts])
             made = [pa.array(sizes, pa.int64()), pa.array(gone, kind), pa.array(kept, pa.binary())]
@@ -269,10 +283,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     Parts of a character left over at a cut are dropped.  Null texts stay null.
     """
-    found = find_repeats(docs)
-    kept = F.call_function("make_valid_utf8", F.col("kept").cast("string"))
-    kept = F.when(F.size("spans") == 0, kept).otherwise(F.replace(kept, F.lit("\ufffd"), F.lit("")))
-    out = found.withColumn("new_text", F.when(F.col("had_text"), kept))
+    found = find_repeats(docs, characters=True)
+    out = found.withColumn("new_text", F.when(F.col("had_text"), F.col("kept").cast("string")))
     columns = [
         F.col("doc_id") if c == "doc_id"
         else F.col("new_text").alias(c) if c == "text"

@@ -85,3 +85,20 @@ def test_odd_and_whole_tables(spark, odd_docs, no_docs):
         n = sum(s.stop - s.start for s in r.spans)
         assert (r.n_bytes, n, len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) == want[r.doc_id]
     assert {r.doc_id for r in cut.collect()} == set(text)
+
+
+def test_cut_texts_keep_their_replacement_characters(spark):
+    passage = "".join(chr(0x4E00 + i) for i in range(140))  # 420 bytes
+    # The characters around the passage share their outer bytes, so that the cuts go through them.
+    texts = ["a\ufffdb\u4e01" + passage + "\u4f01c\ufffd", "d\u5e01" + passage + "\u4f41\ufffde", "f\ufffd"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in repeats.without_repeats(docs).collect()}
+    assert got == {0: "a\ufffdbc\ufffd", 1: "d\ufffde", 2: "f\ufffd"}
+
+
+def test_whole_characters():
+    text = "aé日🙂\ufffdz".encode()
+    for start in range(len(text) + 1):
+        for stop in range(start, len(text) + 1):
+            want = text[start:stop].decode("utf-8", "ignore").encode()
+            assert repeats.whole_characters(text, start, stop) == want
