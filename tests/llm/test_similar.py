@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tarn.llm import golay
+from tarn.llm import golay, neighbours
 from tarn.llm import queries as q
 from tarn.llm.components import connected_components
 from tarn.llm.near_duplicates import codeword_keys, fingerprint_text, near_duplicate_classes, segment_keys
@@ -130,3 +130,22 @@ def test_neighbours_of_odd_vectors(spark):
     assert rows == plain_nearest(good[:19], [1])[1]
     few = df.where("vec_id < 3")
     assert [(r.query_id, r["rank"], r.vec_id) for r in nearest(few, few.where("vec_id = 1")).collect()] == [(1, 1, 2)]
+
+
+def test_neighbours_have_recall_over_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LIST_SIZE", 50)  # 40 lists, found by the graph; the ratios are those in use
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in vectors.collect()]
+    own = vectors.selectExpr("vec_id", "CAST(embedding AS array<double>) AS vec")
+    graph = neighbours.fit(own, len(rows))
+    queries = [r for r in rows if r[0] % 50 == 0]
+    read = [len(graph.lists(neighbours.unit(np.array([v], dtype=np.float64))[0], neighbours.QUERY_RATIO)) for _, v in queries]
+    print("lists", len(graph.centroids), "read", np.mean(read))
+    assert len(graph.centroids) > 30 and np.mean(read) < 0.95 * len(graph.centroids)
+    want = plain_nearest(rows, [r[0] for r in queries])
+    got = {}
+    for r in nearest(vectors, vectors.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = np.mean([len(got[i] & set(want[i])) / 5 for i in want])
+    print("recall", recall)
+    assert recall >= 0.9
