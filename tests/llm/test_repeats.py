@@ -8,8 +8,8 @@ from tarn.llm import repeats
 from tarn.llm.bwt import repeated_starts
 
 
-def plain(texts, least):
-    """(n_bytes, n_removed, n_spans, sha) of each text, by counting every window."""
+def removed(texts, least):
+    """For each text, which bytes are in a string that starts at two places or more, by counting every window."""
     seen = {}
     for t in texts:
         for i in range(len(t) - least + 1):
@@ -20,6 +20,14 @@ def plain(texts, least):
         for i in range(len(t) - least + 1):
             if seen[t[i : i + least]] > 1:
                 gone[i : i + least] = True
+        out.append(gone)
+    return out
+
+
+def plain(texts, least):
+    """(n_bytes, n_removed, n_spans, sha) of each text."""
+    out = []
+    for t, gone in zip(texts, removed(texts, least), strict=True):
         kept = bytes(b for b, g in zip(t, gone) if not g)
         out.append((len(t), int(gone.sum()), len(repeats.runs(gone)), hashlib.sha256(kept).hexdigest()))
     return out
@@ -59,9 +67,9 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("hot", [2048, 2])
-def test_query_equals_counting_all_windows(spark, hot, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("batch", [2048, 2])
+def test_query_equals_counting_all_windows(spark, batch, monkeypatch):
+    monkeypatch.setattr(repeats, "BATCH", batch)
     rows = [(i if i != 3 else None, t, i, "s") for i, t in enumerate(corpus())]
     docs = spark.createDataFrame(rows, "doc_id long, text string, rk int, spans string").repartition(3)
     monkeypatch.setattr(q, "table", lambda s, d, n: docs)
@@ -71,6 +79,32 @@ def test_query_equals_counting_all_windows(spark, hot, monkeypatch):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
 
 
+@pytest.mark.parametrize("least, batch", [(256, 2048), (100, 1), (7, 1)])
+def test_other_lengths_and_crowded_grams(spark, least, batch, monkeypatch):
+    monkeypatch.setattr(repeats, "BATCH", batch)
+    monkeypatch.setattr(repeats, "BATCH_BYTES", 1 << 12)
+    monkeypatch.setattr(repeats, "BLOCK", 1 << 10)
+    texts = corpus()
+    common = texts[0][:90]  # one passage between different neighbours, again and again
+    texts += [f"{i * i} before " + common + f" after {i}" * 40 for i in range(12)]
+    rows = [(i if i != 3 else None, t, 7, "s") for i, t in enumerate(texts)] + [(0, texts[0], 7, "s")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, n_chars string").repartition(3)
+    cut = repeats.without_repeats(docs, least)
+    assert cut.schema == docs.schema
+    got = sorted(((str(r.doc_id), r.text, r.n_chars) for r in cut.collect()), key=str)
+    whole = [t or "" for _, t, *_ in rows]
+    gone = removed([t.encode() for t in whole], least)
+    want = []
+    for (i, t, *_), g in zip(rows, gone, strict=True):
+        kept, at = "", 0
+        for c in t or "":
+            size = len(c.encode())
+            kept += c if not g[at : at + size].any() else ""
+            at += size
+        want.append((str(i), None if t is None else kept, None if t is None else str(len(kept))))
+    assert got == sorted(want, key=str)
+
+
 def test_odd_and_whole_tables(spark, odd_docs, no_docs):
     rows = repeats.find_repeats(odd_docs).collect()
     assert len(rows) == odd_docs.count()
