@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch handed to a Python worker: very long texts must not pile up.
@@ -24,9 +25,15 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a temporary folder; any other is an error, as
+    executors do not see each other's disks.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tarn-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -56,5 +63,16 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns, of any names, as one struct."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def other_columns_hash(docs: DataFrame) -> Column:
+    """A hash of the columns besides doc_id and text, which tells rows apart that are equal in those."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
+
+
 def id_type(df: DataFrame, column: str = "doc_id") -> str:
     return df.schema[column].dataType.simpleString()

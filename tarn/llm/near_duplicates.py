@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import golay
-from tarn.llm.common import id_type, materialize, small_batches, texts
+from tarn.llm.common import id_type, materialize, other_columns_hash, small_batches, texts, whole_row
 from tarn.llm.components import connected_components
 from tarn.llm.simhash import fingerprint
 
@@ -151,9 +151,10 @@ def near_duplicate_classes(docs: DataFrame, words_per_shingle: int = 4, max_bits
 def keep_one(docs: DataFrame, words_per_shingle: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, of which one stays for each component: that of the least id.
 
-    A null id counts as greater than any other; of rows with equal ids and texts one stays.
+    A null id counts as greater than any other; of rows with equal ids and texts one
+    stays, that whose other columns have the least hash; an empty table stays empty.
     """
-    base = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    base = docs.select(whole_row(docs).alias("row"), other_columns_hash(docs).alias("rest"), "doc_id", "text")
     base = base.withColumn("rk", F.xxhash64("doc_id", "text"))
     keyed = fingerprints(base.select(F.struct("doc_id", "rk").alias("id"), "text"), words_per_shingle, "id")
     keyed = keyed.select(F.struct(F.col("doc_id.doc_id").isNull(), "doc_id.doc_id", "doc_id.rk").alias("rank"), "fp")
@@ -161,7 +162,7 @@ def keep_one(docs: DataFrame, words_per_shingle: int = 4, max_bits: int = MAX_BI
     first = roots(distinct, max_bits).groupBy("root").agg(F.min("rank").alias("rank"))
     first = first.select(F.col("rank.rk").alias("rk"), F.col("rank.doc_id").alias("id"))
     met = (base["rk"] == first["rk"]) & base["doc_id"].eqNullSafe(first["id"])
-    stay = base.join(first, met, "left_semi").groupBy("rk", "doc_id").agg(F.first("row").alias("row"))
+    stay = base.join(first, met, "left_semi").groupBy("rk", "doc_id").agg(F.min_by("row", "rest").alias("row"))
     return stay.select("row.*")
 
 

@@ -5,7 +5,7 @@ sys.path.insert(0, str(Path(__file__).parents[2]))
 
 import corpus_pipeline  # noqa: E402
 
-from tarn.llm import near_duplicates, quality_rules  # noqa: E402
+from tarn.llm import near_duplicates, quality_rules, similar_texts  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -21,6 +21,16 @@ def test_keep_one(spark, odd_docs, no_docs):
     assert near_duplicates.keep_one(no_docs).collect() == []
 
 
+def test_any_column_names(spark):
+    rows = [(1, "a b c d e f", 3, {"k": 1}), (1, "a b c d e f", 4, {"k": 1}), (2, "A b c d e f", 5, None), (3, None, 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `x.y` int, row map<string,int>")
+    for keep in (near_duplicates.keep_one, similar_texts.keep_one):
+        kept = keep(docs)
+        assert kept.schema == docs.schema
+        assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+        assert sorted(r[2] for r in keep(docs.repartition(3)).collect()) == sorted(r[2] for r in kept.collect())
+
+
 def test_stages(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet")
