@@ -149,3 +149,66 @@ def bitstring(bits: Column, n: int) -> Column:
 
 def first_of(values: Sequence[str], x: Column) -> Column:
     return x.isin(list(values))
+
+
+def struct_insert(s: Column, fields: Sequence[str], **added: Column) -> Column:
+    """A struct with more fields; ``fields`` are those it has."""
+    named = [(f, s[f]) for f in fields] + list(added.items())
+    return F.named_struct(*(x for n, c in named for x in (F.lit(n), c)))
+
+
+def row(*values: Column) -> Column:
+    """An unnamed struct: fields by position."""
+    return F.named_struct(*(x for i, v in enumerate(values, 1) for x in (F.lit(f"_{i}"), v)))
+
+
+def array_value(*values: Column) -> Column:
+    return F.array(*values)
+
+
+def map_entries(m: Column) -> Column:
+    """Structs of key and value, in the map's order."""
+    return F.map_entries(m)
+
+
+def zip_lists(*xs: Column, truncate: bool = False) -> Column:
+    """Structs of the values at each place; shorter lists are padded with nulls, or all cut to the shortest."""
+    zipped = F.arrays_zip(*(x.alias(f"_{i}") for i, x in enumerate(xs, 1)))
+    return F.slice(zipped, F.lit(1), F.least(*map(F.size, xs))) if truncate else zipped
+
+
+def subscripts(xs: Column) -> Column:
+    """``generate_subscripts``: 1 to the length, nothing for an empty list."""
+    return F.transform(xs, lambda x, i: (i + 1).cast("int"))
+
+
+def push_front(xs: Column, x: Column) -> Column:
+    return F.concat(F.array(x), xs)
+
+
+def push_back(xs: Column, x: Column) -> Column:
+    return F.concat(xs, F.array(x))
+
+
+def pop_front(xs: Column) -> Column:
+    return F.slice(xs, F.lit(2), F.greatest(F.size(xs) - 1, F.lit(0)))
+
+
+def pop_back(xs: Column) -> Column:
+    return F.slice(xs, F.lit(1), F.greatest(F.size(xs) - 1, F.lit(0)))
+
+
+def intersect(a: Column, b: Column) -> Column:
+    return F.array_intersect(a, b)
+
+
+def has_all(xs: Column, wanted: Column) -> Column:
+    return F.size(F.array_except(wanted, xs)) == 0
+
+
+def slice_any(xs: Column, begin: int, end: int) -> Column:
+    """``l[begin:end]``, both inclusive, from 1, negative from the end; nothing if they cross."""
+    n = F.size(xs)
+    first = F.greatest(F.lit(begin) if begin >= 0 else n + begin + 1, F.lit(1))
+    last = F.least(F.lit(end) if end >= 0 else n + end + 1, n)
+    return F.slice(xs, first, F.greatest(last - first + 1, F.lit(0)))

@@ -71,4 +71,16 @@ def lgamma(x: pd.Series) -> pd.Series:
 def nextafter(x: pd.Series, y: pd.Series) -> pd.Series:
     import numpy as np
 
-    return pd.Series(np.nextafter(x, y))
+    return pd.Series(np.nextafter(x.astype("float64"), y.astype("float64")))
+
+
+def isinf(x: Column) -> Column:
+    return F.abs(x) == F.lit(float("inf"))
+
+
+def isfinite(x: Column) -> Column:
+    return ~F.isnan(x) & ~isinf(x)
+
+
+def bitwise_not(x: Column) -> Column:
+    return F.bitwise_not(x)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType
 
@@ -35,30 +35,134 @@ def split_literal(s: Column, separator: str) -> Column:
     return F.split(s, re.escape(separator), -1)
 
 
+def java_replacement(new: str) -> str:
+    """A replacement with ``\\1`` groups, and plain dollars, as Java writes it."""
+    import re
+
+    return re.sub(r"\\(\d)|([$])", lambda m: f"${m[1]}" if m[1] else "\\$", new)
+
+
+def regexp_replace(s: Column, pattern: str, new: str) -> Column:
+    """All matches (option g); groups in ``new`` are ``\\1`` and so on."""
+    return F.regexp_replace(s, pattern, java_replacement(new))
+
+
 def regexp_replace_first(s: Column, pattern: str, new: str) -> Column:
-    """Only the first match, the default of the dialect."""
-    return F.regexp_replace(s, f"^([\\s\\S]*?)(?:{pattern})", "$1" + new)
+    """Only the first match, the default of the dialect; groups in ``new`` are ``\\1`` and so on.
+
+    The part before the match is found on its own, so that the pattern's groups keep their numbers.
+    """
+    match = F.regexp_substr(s, F.lit(pattern))
+    at = F.regexp_instr(s, F.lit(pattern))
+    # Only the text from the match on is rewritten: the pattern is tied to its start.
+    rest = F.substr(s, at)
+    done = F.regexp_replace(rest, f"\\A(?:{pattern})", java_replacement(new))
+    return F.when(match.isNull() | (at == 0), s).otherwise(F.concat(F.substr(s, F.lit(1), at - 1), done))
 
 
 def regexp_full_match(s: Column, pattern: str) -> Column:
-    return s.rlike(f"^(?:{pattern})$")
+    return s.rlike(f"\\A(?:{pattern})\\z")
+
+
+def regexp_escape(text: str) -> str:
+    """A pattern that matches ``text`` itself."""
+    import re
+
+    return re.escape(text)
+
+
+def regexp_split_to_table(df: DataFrame, column: str, pattern: str, name: str = "part") -> DataFrame:
+    """A row for each piece."""
+    return df.withColumn(name, F.explode(F.split(F.col(column), pattern, -1)))
 
 
 def glob(s: Column, pattern: str) -> Column:
-    """GLOB: * any run, ? one character, [..] a class."""
+    """GLOB: * any run, ? one character, [..] a class, [!..] its complement."""
     import re
 
-    out = "".join({"*": "[\\s\\S]*", "?": "[\\s\\S]"}.get(c, c if c in "[]-^" else re.escape(c)) for c in pattern)
-    return s.rlike(f"^{out}$")
+    out, i = "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        end = pattern.find("]", i + 2) if c == "[" else -1
+        if end > 0:
+            body = pattern[i + 1 : end]
+            out += "[" + ("^" + body[1:] if body[0] == "!" else body).replace("\\", "\\\\").replace("[", "\\[") + "]"
+            i = end
+        else:
+            out += {"*": "[\\s\\S]*", "?": "[\\s\\S]"}.get(c, re.escape(c))
+        i += 1
+    return s.rlike(f"\\A{out}\\z")
 
 
 def hamming(a: Column, b: Column) -> Column:
-    """Differing characters of two strings of one length; other lengths are an error."""
+    """Differing characters of two strings of one length; other lengths are an error, null is null."""
     pairs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y).cast("int"))
     found = F.aggregate(pairs, F.lit(0), lambda t, x: t + x).cast("long")
-    return F.when(F.length(a) == F.length(b), found).otherwise(
-        F.raise_error(F.lit("strings must be of equal length")).cast("long")
-    )
+    wrong = F.raise_error(F.lit("strings must be of equal length")).cast("long")
+    return F.when(F.length(a) == F.length(b), found).when(F.length(a) != F.length(b), wrong)
+
+
+def unicode(s: Column) -> Column:
+    """The first character's code point; -1 of an empty text."""
+    four = F.encode(F.substring(s, 1, 1), "UTF-32")
+    return F.when(F.length(s) == 0, F.lit(-1)).otherwise(F.conv(F.hex(four), 16, 10).cast("int"))
+
+
+def chr(n: Column) -> Column:
+    """The character of a code point."""
+    return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+
+
+def to_base(n: Column, radix: int, least: int = 0) -> Column:
+    """Digits 0-9, A-Z, padded with zeros to ``least``."""
+    out = F.conv(n, 10, radix)
+    return F.when(F.length(out) < least, F.lpad(out, least, "0")).otherwise(out) if least else out
+
+
+def md5_lower(s: Column) -> Column:
+    """``md5_number_lower``: the second eight bytes, as an unsigned number of low bytes first."""
+    return _eight(F.substring(F.md5(s), 17, 16))
+
+
+def md5_upper(s: Column) -> Column:
+    """``md5_number_upper``: the first eight bytes, likewise."""
+    return _eight(F.substring(F.md5(s), 1, 16))
+
+
+def _eight(digits: Column) -> Column:
+    turned = F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in reversed(range(8))))
+    return F.conv(turned, 16, 10).cast("decimal(20,0)")
+
+
+def bar(x: Column, low: float, high: float, width: int = 80) -> Column:
+    """A bar of block characters in eighths, padded with blanks to ``width``."""
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - low) / (high - low)))
+    eighths = F.floor(share * width * 8).cast("int")
+    parts = F.array(*(F.lit(c) for c in ("", "▏", "▎", "▍", "▌", "▋", "▊", "▉")))
+    full = F.call_function("repeat", F.lit("█"), F.floor(eighths / 8).cast("int"))
+    return F.rpad(F.concat(full, F.get(parts, (eighths % 8).cast("int"))), width, " ")
+
+
+def format_braces(template: str, *values: Column) -> Column:
+    """``format``: {} in order, {:05d}-like widths, {{ and }} for braces."""
+    import re
+
+    parts, at = [], iter(values)
+    for piece in re.split(r"(\{\{|\}\}|\{[^{}]*\})", template):
+        if piece in ("{{", "}}"):
+            parts.append(F.lit(piece[0]))
+        elif piece.startswith("{"):
+            spec = piece[1:-1].partition(":")[2]
+            parts.append(F.format_string(f"%{spec}" if spec else "%s", next(at)))
+        elif piece:
+            parts.append(F.lit(piece))
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def parse_path(path: Column) -> Column:
+    """The parts between separators; a leading separator is a part of its own."""
+    parts = F.filter(F.split(path, r"[/\\]", -1), lambda x: x != "")
+    return F.when(path.rlike(r"\A[/\\]"), F.concat(F.array(F.substring(path, 1, 1)), parts)).otherwise(parts)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -106,6 +210,26 @@ def nfc_normalize(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+@F.pandas_udf(LongType())
+def length_grapheme(s: pd.Series) -> pd.Series:
+    """User-perceived characters."""
+    import regex
+
+    return s.map(lambda t: len(regex.findall(r"\X", t)), na_action="ignore").astype("Int64")
+
+
+def substring_grapheme(begin: int, length: int):
+    """``substring`` in user-perceived characters, from 1; as a function of the column."""
+
+    @F.pandas_udf(StringType())
+    def cut(s: pd.Series) -> pd.Series:
+        import regex
+
+        return s.map(lambda t: "".join(regex.findall(r"\X", t)[begin - 1 : begin - 1 + length]), na_action="ignore")
+
+    return cut
+
+
 def _jaro(a: str, b: str) -> float:
     if not a and not b:
         return 1.0

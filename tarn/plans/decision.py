@@ -44,8 +44,7 @@ SQL = {
         SELECT y0, year(o_orderdate) - y0 AS age, count(DISTINCT o.o_custkey) AS customers FROM orders o JOIN f ON o.o_custkey = f.o_custkey GROUP BY y0, year(o_orderdate) - y0""",
     "event_funnel": """WITH u AS (SELECT user_id, min(CASE WHEN event_type = 'view' THEN ts END) AS v, min(CASE WHEN event_type = 'click' THEN ts END) AS c, min(CASE WHEN event_type = 'purchase' THEN ts END) AS p FROM events GROUP BY user_id)
         SELECT count(*) AS users, count(v) AS viewed, count(CASE WHEN c > v THEN 1 END) AS clicked, count(CASE WHEN p > c AND c > v THEN 1 END) AS bought FROM u""",
-    "lateral_column_alias": "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, round(net * (1 + l_tax), 6) AS gross FROM lineitem WHERE l_orderkey < 100",
-    "lateral_column_alias_whole": "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, round(net * (1 + l_tax), 6) AS gross FROM lineitem",
+    "lateral_column_alias": "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, round(net * (1 + l_tax), 6) AS gross FROM lineitem",
     "group_by_sum_h2o": "SELECT l_returnflag, l_suppkey, round(sum(l_quantity), 2) AS v1, round(avg(l_extendedprice), 4) AS v3 FROM lineitem GROUP BY l_returnflag, l_suppkey",
     "top_two_per_group_h2o": "SELECT l_suppkey, l_extendedprice AS largest FROM (SELECT l_suppkey, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC) AS place FROM lineitem) x WHERE place <= 2",
     "label_statistics": "SELECT lang, source, count(*) AS n, sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang, source",

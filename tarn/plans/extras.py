@@ -17,10 +17,10 @@ def scalar_macro(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", F.expr("round(tarn_raise(c_acctbal), 4)").alias("x"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS i FROM range(3, 9) r(i)")
+@query("SELECT CAST(i AS BIGINT) AS i FROM range(3, 909) r(i)")
 def table_macro(t: Tables) -> DataFrame:
-    user.macro(t.spark, "tarn_span", "a BIGINT, b BIGINT", "i BIGINT", "SELECT a + id AS i FROM range(100) WHERE a + id < b", table=True)
-    return t.spark.sql("SELECT * FROM tarn_span(3, 9)")
+    user.macro(t.spark, "tarn_span", "a BIGINT, b BIGINT", "i BIGINT", "SELECT i FROM (SELECT explode(sequence(a, b)) AS i) WHERE i < b", table=True)
+    return t.spark.sql("SELECT * FROM tarn_span(3, 909)")
 
 
 @query("SELECT p_brand, CAST(sum(p_size) AS BIGINT) AS total, CAST(max(p_size) AS BIGINT) AS most FROM part GROUP BY p_brand")
@@ -92,17 +92,9 @@ def sequence_values(t: Tables) -> DataFrame:
     return with_position(t.nation.select("n_name"), ["n_name"], "p").select((1000 + 5 * (F.col("p") - 1)).alias("id"), "n_name")
 
 
-@query("SELECT e.event_id, CAST(epoch_us(timezone('America/New_York', timezone('UTC', ts))) AS BIGINT) AS local FROM events e WHERE event_id < 1000")
-def time_zones(t: Tables) -> DataFrame:
-    return _time_zones(t.events.where("event_id < 1000"))
-
-
 @query("SELECT e.event_id, CAST(epoch_us(timezone('America/New_York', timezone('UTC', ts))) AS BIGINT) AS local FROM events e")
-def time_zones_whole(t: Tables) -> DataFrame:
-    return _time_zones(t.events)
-
-
-def _time_zones(e: DataFrame) -> DataFrame:
+def time_zones(t: Tables) -> DataFrame:
+    e = t.events
     local = F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), F.col("ts"))
     return e.select("event_id", F.unix_micros(local.cast("timestamp")).alias("local"))
 

@@ -32,13 +32,13 @@ def pricing_summary(t: Tables) -> DataFrame:
 JOIN lineitem ON l_orderkey=o_orderkey JOIN supplier ON l_suppkey=s_suppkey AND c_nationkey=s_nationkey
 JOIN nation ON s_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey WHERE r_name='ASIA' GROUP BY n_name""")
 def local_supplier_volume(t: Tables) -> DataFrame:
-    joined = (
-        t.lineitem.join(t.orders, F.expr("l_orderkey = o_orderkey"))
-        .join(t.customer, F.expr("o_custkey = c_custkey"))
-        .join(t.supplier, F.expr("l_suppkey = s_suppkey AND c_nationkey = s_nationkey"))
-        .join(t.nation, F.expr("s_nationkey = n_nationkey"))
-        .join(t.region.where("r_name = 'ASIA'"), F.expr("n_regionkey = r_regionkey"))
-    )
+    """The region is applied to suppliers and customers first, so that little of the two large tables is shuffled."""
+    nations = t.nation.join(t.region.where("r_name = 'ASIA'"), F.expr("n_regionkey = r_regionkey")).select("n_nationkey", "n_name")
+    suppliers = t.supplier.join(nations, F.expr("s_nationkey = n_nationkey")).select("s_suppkey", "s_nationkey", "n_name")
+    customers = t.customer.join(nations, F.expr("c_nationkey = n_nationkey"), "left_semi").select("c_custkey", "c_nationkey")
+    orders = t.orders.join(customers, F.expr("o_custkey = c_custkey")).select("o_orderkey", "c_nationkey")
+    lines = t.lineitem.join(suppliers, F.expr("l_suppkey = s_suppkey"))
+    joined = lines.join(orders, F.expr("l_orderkey = o_orderkey AND s_nationkey = c_nationkey"))
     return joined.groupBy("n_name").agg(money(F.sum(F.expr("l_extendedprice*(1-l_discount)")), 4).alias("revenue"))
 
 
@@ -91,17 +91,9 @@ def left_join(t: Tables) -> DataFrame:
     return j.select("n_name", "s_name", money(F.col("s_acctbal")).alias("bal"))
 
 
-@query("""SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey<400) c FULL JOIN (SELECT * FROM orders WHERE o_custkey>350 AND o_custkey<500) o ON c_custkey=o_custkey""")
-def full_join(t: Tables) -> DataFrame:
-    return _full_join(t.customer.where("c_custkey < 400"), t.orders.where("o_custkey > 350 AND o_custkey < 500"))
-
-
 @query("SELECT c_custkey, o_orderkey FROM customer FULL JOIN orders ON c_custkey=o_custkey")
-def full_join_whole(t: Tables) -> DataFrame:
-    return _full_join(t.customer, t.orders)
-
-
-def _full_join(c: DataFrame, o: DataFrame) -> DataFrame:
+def full_join(t: Tables) -> DataFrame:
+    c, o = t.customer, t.orders
     return c.join(o, F.expr("c_custkey = o_custkey"), "full").select("c_custkey", "o_orderkey")
 
 
@@ -112,13 +104,13 @@ def right_join(t: Tables) -> DataFrame:
 
 @query("SELECT r_name, n_name FROM region CROSS JOIN nation WHERE r_regionkey < 2")
 def cross_product(t: Tables) -> DataFrame:
-    return t.region.where("r_regionkey < 2").crossJoin(F.broadcast(t.nation)).select("r_name", "n_name")
+    return t.region.where("r_regionkey < 2").crossJoin(t.nation).select("r_name", "n_name")
 
 
-@query("SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey <> b.n_regionkey AND length(a.n_name) = length(b.n_name) + 3")
+@query("SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey <> b.n_regionkey AND length(a.n_name) > length(b.n_name) + 3")
 def theta_join(t: Tables) -> DataFrame:
-    a, b = t.nation.select(F.col("n_name").alias("a"), F.col("n_regionkey").alias("ra")), t.nation
-    j = a.join(b, F.expr("ra <> n_regionkey AND length(a) = length(n_name) + 3"))
+    a = t.nation.select(F.col("n_name").alias("a"), F.col("n_nationkey").alias("ka"), F.col("n_regionkey").alias("ra"))
+    j = a.join(t.nation, F.expr("ka < n_nationkey AND ra <> n_regionkey AND length(a) > length(n_name) + 3"))
     return j.select("a", F.col("n_name").alias("b"))
 
 
@@ -185,48 +177,24 @@ def positional_join(t: Tables) -> DataFrame:
     return joins.positional_join(t.nation.select("n_name"), t.region.select("r_name"), ["n_name"], ["r_name"])
 
 
-@query("SELECT c_custkey, c_custkey IN (SELECT CASE WHEN o_custkey%7=0 THEN NULL ELSE o_custkey END FROM orders WHERE o_custkey<100) AS mark FROM customer WHERE c_custkey < 200")
-def mark_join(t: Tables) -> DataFrame:
-    return _mark_join(t.customer.where("c_custkey < 200"), t.orders.where("o_custkey < 100"))
-
-
 @query("SELECT c_custkey, c_custkey IN (SELECT CASE WHEN o_custkey%7=0 THEN NULL ELSE o_custkey END FROM orders) AS mark FROM customer")
-def mark_join_whole(t: Tables) -> DataFrame:
-    return _mark_join(t.customer, t.orders)
-
-
-def _mark_join(c: DataFrame, o: DataFrame) -> DataFrame:
+def mark_join(t: Tables) -> DataFrame:
+    c, o = t.customer, t.orders
     some = o.select(F.expr("CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_custkey END k"))
     return joins.mark_join(c.select("c_custkey"), some, "c_custkey", "k")
 
 
-@query("SELECT count(*) AS n FROM (SELECT nullif(o_custkey%5,0) k FROM orders WHERE o_orderkey<300) a JOIN (SELECT nullif(c_custkey%5,0) j FROM customer WHERE c_custkey<50) b ON k IS NOT DISTINCT FROM j")
-def null_safe_join(t: Tables) -> DataFrame:
-    return _null_safe_join(t.orders.where("o_orderkey < 300"), t.customer.where("c_custkey < 50"))
-
-
 @query("SELECT count(*) AS n FROM (SELECT nullif(o_custkey%5,0) k FROM orders) a JOIN (SELECT nullif(c_custkey%5,0) j FROM customer) b ON k IS NOT DISTINCT FROM j")
-def null_safe_join_whole(t: Tables) -> DataFrame:
-    return _null_safe_join(t.orders, t.customer)
-
-
-def _null_safe_join(o: DataFrame, c: DataFrame) -> DataFrame:
+def null_safe_join(t: Tables) -> DataFrame:
+    o, c = t.orders, t.customer
     a = o.selectExpr("nullif(o_custkey % 5, 0) k").groupBy("k").agg(F.count("*").alias("x"))
     b = c.selectExpr("nullif(c_custkey % 5, 0) j").groupBy("j").agg(F.count("*").alias("y"))
     return a.join(b, F.col("k").eqNullSafe(F.col("j"))).agg(F.sum(F.col("x") * F.col("y")).alias("n"))
 
 
-@query("SELECT c_custkey, o_orderkey, o_totalprice FROM customer, LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey=c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) WHERE c_custkey < 300")
-def lateral_top_two(t: Tables) -> DataFrame:
-    return _lateral_top_two(t.customer.where("c_custkey < 300"), t.orders)
-
-
 @query("SELECT c_custkey, o_orderkey, o_totalprice FROM customer, LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey=c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2)")
-def lateral_top_two_whole(t: Tables) -> DataFrame:
-    return _lateral_top_two(t.customer, t.orders)
-
-
-def _lateral_top_two(c: DataFrame, o: DataFrame) -> DataFrame:
+def lateral_top_two(t: Tables) -> DataFrame:
+    c, o = t.customer, t.orders
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     top = relational.qualify(o, F.row_number().over(w), lambda n: n <= 2)
     j = c.join(top, F.expr("o_custkey = c_custkey"))
@@ -305,13 +273,11 @@ def ordered_aggregates(t: Tables) -> DataFrame:
 
 @query("SELECT event_type, round(median(value),4) med, round(quantile_cont(value,0.9),4) q9, round(mad(value),4) dev, round(quantile_disc(value,0.25),4) qd FROM events GROUP BY 1")
 def quantiles(t: Tables) -> DataFrame:
-    e = t.events
-    out = e.groupBy("event_type").agg(
-        F.round(F.median("value"), 4).alias("med"), F.round(F.percentile("value", 0.9), 4).alias("q9"),
-        F.round(F.expr("percentile_disc(0.25) WITHIN GROUP (ORDER BY value)"), 4).alias("qd"),
-    )
-    dev = agg.mad(e, ["event_type"], "value", "dev")
-    return out.join(dev, "event_type").select("event_type", "med", "q9", F.round("dev", 4).alias("dev"), "qd")
+    e, k = t.events, ["event_type"]
+    q = agg.quantiles(e, k, "value", [0.5, 0.9], "c").join(agg.quantiles(e, k, "value", [0.25], "d", False), k)
+    q = q.join(agg.mad(e, k, "value", "dev"), k)
+    values = {"med": F.get("c", F.lit(0)), "q9": F.get("c", F.lit(1)), "dev": F.col("dev"), "qd": F.get("d", F.lit(0))}
+    return q.select("event_type", *(F.round(c, 4).alias(n) for n, c in values.items()))
 
 
 @query("SELECT o_orderstatus, round(entropy(o_orderpriority),6) en FROM orders GROUP BY 1")
@@ -330,38 +296,21 @@ def mode(t: Tables) -> DataFrame:
     return agg.mode(t.part, ["p_brand"], "p_size", "m")
 
 
-@query("SELECT string_agg(CASE WHEN EXISTS(SELECT 1 FROM part WHERE p_size=i) THEN '1' ELSE '0' END,'' ORDER BY i) bits FROM range(1,61) r(i)")
+@query("SELECT bitstring_agg(p_size, 1, 60)::VARCHAR bits FROM part")
 def bitstring_agg(t: Tables) -> DataFrame:
     return t.part.agg(agg.bitstring(range(1, 61), F.col("p_size")).alias("bits"))
 
 
-@query("SELECT round(ln(product(1 + l_discount/100)),6) p FROM lineitem WHERE l_orderkey < 1000")
+@query("SELECT l_orderkey, round(product(1 + l_discount), 9) p FROM lineitem GROUP BY 1")
 def product(t: Tables) -> DataFrame:
-    li = t.lineitem.where("l_orderkey < 1000")
-    return li.agg(F.round(F.ln(F.product(1 + F.col("l_discount") / 100)), 6).alias("p"))
-
-
-@query("SELECT round(sum(ln(1 + l_discount/100)),6) p FROM lineitem")
-def product_whole(t: Tables) -> DataFrame:
-    """By the sum of logarithms, as the product itself overflows on large tables."""
-    return t.lineitem.agg(F.round(F.sum(F.ln(1 + F.col("l_discount") / 100)), 6).alias("p"))
-
-
-@query("""SELECT o_orderkey, row_number() OVER w rn, rank() OVER v rk, dense_rank() OVER v dr, round(percent_rank() OVER v,6) pr, round(cume_dist() OVER v,6) cd, ntile(4) OVER w nt,
-lag(o_orderkey,1,-1) OVER w lg, lead(o_orderkey,2) OVER w ld, first_value(o_orderkey) OVER w fv, nth_value(o_orderkey,2) OVER w nv
-FROM orders WHERE o_custkey < 500 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), v AS (PARTITION BY o_custkey ORDER BY o_orderstatus)""")
-def ranking_windows(t: Tables) -> DataFrame:
-    return _ranking_windows(t.orders.where("o_custkey < 500"))
+    return t.lineitem.groupBy("l_orderkey").agg(F.round(F.product(1 + F.col("l_discount")), 9).alias("p"))
 
 
 @query("""SELECT o_orderkey, row_number() OVER w rn, rank() OVER v rk, dense_rank() OVER v dr, round(percent_rank() OVER v,6) pr, round(cume_dist() OVER v,6) cd, ntile(4) OVER w nt,
 lag(o_orderkey,1,-1) OVER w lg, lead(o_orderkey,2) OVER w ld, first_value(o_orderkey) OVER w fv, nth_value(o_orderkey,2) OVER w nv
 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), v AS (PARTITION BY o_custkey ORDER BY o_orderstatus)""")
-def ranking_windows_whole(t: Tables) -> DataFrame:
-    return _ranking_windows(t.orders)
-
-
-def _ranking_windows(o: DataFrame) -> DataFrame:
+def ranking_windows(t: Tables) -> DataFrame:
+    o = t.orders
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     v = Window.partitionBy("o_custkey").orderBy("o_orderstatus")
     long = lambda c: c.cast("long")
@@ -391,11 +340,9 @@ def framed_windows(t: Tables) -> DataFrame:
 @query("""SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW),2) rest,
 count(DISTINCT o_orderpriority) OVER (PARTITION BY o_custkey) dp FROM orders""")
 def exclude_and_distinct_windows(t: Tables) -> DataFrame:
-    w = Window.partitionBy("o_custkey")
-    others = F.when(F.count("*").over(w) > 1, F.sum("o_totalprice").over(w) - F.col("o_totalprice"))
-    return t.orders.select(
-        "o_orderkey", money(others).alias("rest"), F.size(F.collect_set("o_orderpriority").over(w)).cast("long").alias("dp")
-    )
+    own = relational.excluding(t.orders, "o_totalprice", ["o_custkey"], ["o_orderkey"], "current row")
+    priorities = F.size(F.collect_set("o_orderpriority").over(Window.partitionBy("o_custkey"))).cast("long")
+    return own.select("o_orderkey", money(F.col("sum_x")).alias("rest"), priorities.alias("dp"))
 
 
 @query("SELECT event_id, last_value(CASE WHEN value>50 THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) lv, round(median(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW),4) med FROM events")
@@ -453,23 +400,13 @@ def union_by_name(t: Tables) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@query("SELECT c_nationkey k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey<30")
+@query("SELECT c_nationkey k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
 def except_distinct(t: Tables) -> DataFrame:
-    return t.customer.selectExpr("c_nationkey k").subtract(t.supplier.where("s_suppkey < 30").selectExpr("s_nationkey"))
-
-
-@query("SELECT c_nationkey k FROM customer EXCEPT SELECT s_nationkey FROM supplier")
-def except_distinct_whole(t: Tables) -> DataFrame:
-    return t.customer.selectExpr("c_nationkey k").subtract(t.supplier.selectExpr("s_nationkey"))
-
-
-@query("SELECT c_nationkey k FROM customer WHERE c_custkey<300 EXCEPT ALL SELECT s_nationkey FROM supplier")
-def except_all(t: Tables) -> DataFrame:
-    return t.customer.where("c_custkey < 300").selectExpr("c_nationkey k").exceptAll(t.supplier.selectExpr("s_nationkey"))
+    return t.customer.selectExpr("c_nationkey k").subtract(t.supplier.where("s_acctbal > 5000").selectExpr("s_nationkey"))
 
 
 @query("SELECT c_nationkey k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
-def except_all_whole(t: Tables) -> DataFrame:
+def except_all(t: Tables) -> DataFrame:
     return t.customer.selectExpr("c_nationkey k").exceptAll(t.supplier.selectExpr("s_nationkey"))
 
 

@@ -171,17 +171,9 @@ def list_functions(t: Tables) -> DataFrame:
     )
 
 
-@query("SELECT o_custkey, unnest(list(o_orderkey ORDER BY o_orderkey)) k FROM orders WHERE o_custkey<100 GROUP BY 1")
-def unnest(t: Tables) -> DataFrame:
-    return _unnest(t.orders.where("o_custkey < 100"))
-
-
 @query("SELECT o_custkey, unnest(list(o_orderkey ORDER BY o_orderkey)) k FROM orders GROUP BY 1")
-def unnest_whole(t: Tables) -> DataFrame:
-    return _unnest(t.orders)
-
-
-def _unnest(o: DataFrame) -> DataFrame:
+def unnest(t: Tables) -> DataFrame:
+    o = t.orders
     own = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("ks"))
     return own.select("o_custkey", F.explode("ks").alias("k"))
 
@@ -217,17 +209,9 @@ def json_functions(t: Tables) -> DataFrame:
     )
 
 
-@query("SELECT event_id, json_merge_patch(props, '{\"z\":1,\"k\":null}')::VARCHAR m, json_contains(props, '{}') c FROM events WHERE event_id < 500")
-def json_patch_and_contains(t: Tables) -> DataFrame:
-    return _json_patch_and_contains(t.events.where("event_id < 500"))
-
-
 @query("SELECT event_id, json_merge_patch(props, '{\"z\":1,\"k\":null}')::VARCHAR m, json_contains(props, '{}') c FROM events")
-def json_patch_and_contains_whole(t: Tables) -> DataFrame:
-    return _json_patch_and_contains(t.events)
-
-
-def _json_patch_and_contains(e: DataFrame) -> DataFrame:
+def json_patch_and_contains(t: Tables) -> DataFrame:
+    e = t.events
     return e.select(
         "event_id", json.merge_patch(F.col("props"), F.lit('{"z":1,"k":null}')).alias("m"), json.contains(F.col("props"), F.lit("{}")).alias("c")
     )
