@@ -4,7 +4,8 @@ Centroids of balanced clusters are fitted on a bounded sample and kept, with a g
 them, in the memory of every worker.  Each vector goes to the posting list of its nearest
 centroid, and near a border also to the lists of other close centroids; a query reads all
 lists whose centroid is not much farther than its nearest one.  Lists of any length are cut
-into blocks, and a query meets every block of its lists, so that no vector is left out.
+into blocks, and so are the queries of a list; each block of the one meets each block of the
+other, so that no vector is left out and no task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.common import materialize, small_batches
@@ -25,12 +26,12 @@ MAX_SAMPLE = 20_000
 #: Vectors in a posting list on average, and centroids at most.
 LIST_SIZE, MAX_LISTS = 1_000, 4_096
 #: A vector is replicated to lists whose centroid is at most so many times as far as its nearest, up to COPIES.
-BORDER_RATIO, COPIES = 1.10, 4
+BORDER_RATIO, COPIES = 1.10, 2
 #: A query reads lists up to so many times as far as its nearest centroid.
 QUERY_RATIO = 1.15
 #: Neighbours of a centroid in the graph, and the breadth at which a search for lists starts.
 DEGREE, BREADTH = 16, 16
-#: Rows of a posting list that one task holds.
+#: Rows of a posting list, and queries of it, that one task holds.
 BLOCK = 8_192
 
 
@@ -137,6 +138,13 @@ class CentroidGraph:
             breadth *= 4  # every list within the ratio is wanted
 
 
+def common_length(vectors: DataFrame) -> tuple[int, int]:
+    """The commonest length of ``vectors`` (vec_id, vec), the greatest of equally common ones, and how many have it."""
+    sizes = vectors.groupBy(F.size("vec").alias("size")).agg(F.count("*").alias("n"))
+    first = sizes.orderBy(F.desc("n"), F.desc("size")).first()
+    return (first["size"], first["n"]) if first else (0, 0)
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id and vec: rows whose vector has only finite components and is not zero."""
     v = F.col(vector_col)
@@ -203,26 +211,39 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, vec_id and score: each query's ``k`` nearest of ``vectors`` found, by cosine.
 
-    Null, zero and non-finite vectors take no part, on either side.  Rows that repeat a
-    vec_id count once, with their best score.  Fewer candidates than ``k`` give fewer rows.
+    Nearest come first, ties go to the smaller vec_id.  Null, zero and non-finite vectors take
+    no part, on either side, nor do those of another length than the commonest among
+    ``vectors`` (the greatest of equally common ones).  Rows that repeat a vec_id count once,
+    with their best score.  Fewer candidates than ``k`` give fewer rows; an empty table gives
+    none; other columns are not looked at.
     """
     spark = vectors.sparkSession
     small_batches(spark)
     vectors, queries = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
-    rows = vectors.count()
+    length, rows = common_length(vectors)
+    vectors, queries = vectors.where(F.size("vec") == length), queries.where(F.size("vec") == length)
     graph = fit(vectors, rows)
     schema = "query_id long, vec_id long, score double"
     if not len(graph.centroids):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     posted = posting_rows(vectors, graph, BORDER_RATIO, COPIES)
     asked = materialize(posting_rows(queries, graph, QUERY_RATIO, None), "asked")
-    lengths = posted.groupBy("list").agg(F.count("*").alias("n"))
-    lengths = materialize(lengths, "lengths").select("list", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
+    lengths = posted.groupBy("list").agg(F.count("*").alias("n")).join(
+        asked.groupBy("list").agg(F.count("*").alias("asked")), "list"
+    )
+    blocks = (F.ceil(F.col(c) / BLOCK).cast("long").alias(b) for c, b in (("n", "blocks"), ("asked", "ask_blocks")))
+    # One row for each list that a query reads: MAX_LISTS of them at most.
+    lengths = F.broadcast(materialize(lengths, "lengths").select("list", *blocks))
+    row = F.xxhash64("vec_id", "vec")
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
     posted = posted.join(lengths, "list").select(
-        "list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("block"), "vec_id", "vec"
+        "list", F.pmod(row, F.col("blocks")).alias("block"), every("ask_blocks").alias("ask_block"), "vec_id", "vec"
     )
     asked = asked.join(lengths, "list").select(
-        "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "vec_id", "vec"
+        "list", every("blocks").alias("block"), F.pmod(row, F.col("ask_blocks")).alias("ask_block"), "vec_id", "vec"
     )
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -234,7 +255,8 @@ def nearest(
             )
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-    pairs = asked.groupBy("list", "block").cogroup(posted.groupBy("list", "block")).applyInPandas(search, schema)
+    keys = ("list", "block", "ask_block")
+    pairs = asked.groupBy(*keys).cogroup(posted.groupBy(*keys)).applyInPandas(search, schema)
     pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(

@@ -128,10 +128,24 @@ def test_neighbours_of_odd_vectors(spark):
     many = df.where("vec_id < 20").union(df.where("vec_id = 2")).union(df.where("vec_id = 2"))
     rows = [r.vec_id for r in nearest(many, many.where("vec_id = 1")).orderBy("rank").collect()]
     assert rows == plain_nearest(good[:19], [1])[1]
+    other = df.unionByName(spark.createDataFrame([(60, [1.0, 2.0]), (61, [])], "vec_id long, embedding array<float>").selectExpr(
+        "*", "1 AS list", "2 AS block", "3 AS rank", "'a' AS vec"))
+    again = nearest(other, other.where("vec_id IN (1, 7, 60)")).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, nearest(df, df.where("vec_id IN (1, 7)")).collect()))
     few = df.where("vec_id < 3")
     assert [(r.query_id, r["rank"], r.vec_id) for r in nearest(few, few.where("vec_id = 1")).collect()] == [(1, 1, 2)]
 
 
+def test_small_blocks_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(300)] + [(900, [1.0] * 6)] * 40
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = df.where("vec_id < 60 OR vec_id = 900")
+    want = sorted(map(tuple, nearest(df, asked).collect()))
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    assert sorted(map(tuple, nearest(df, asked).collect())) == want
+
+
 def test_neighbours_have_recall_over_many_lists(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "LIST_SIZE", 50)  # 40 lists, found by the graph; the ratios are those in use
     vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
