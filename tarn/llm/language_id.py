@@ -8,7 +8,6 @@ temperature fitted on rows that were not trained on makes the probabilities hone
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +26,8 @@ FACTORS = [np.array([2654435761 + 2 * (8 * n + i) * 40503 for i in range(n)], dt
 BLOCK = 1 << 20
 #: The fit sees about this many documents in all, at least LEAST of each language, by a hash of the id.
 MAX_SAMPLE, LEAST = 4_000, 30
-LETTER = re.compile(r"[^\W\d_]")
+#: Languages that can be told apart at most: the weights of more would not fit into a worker.
+MAX_LANGUAGES = 512
 UNKNOWN = "und"
 
 
@@ -51,6 +51,11 @@ def ngram_counts(text: str) -> np.ndarray:
     return total
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is of one of Unicode's letter categories."""
+    return any(map(str.isalpha, text))
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -70,7 +75,7 @@ class LanguageModel:
         return value @ self.weights[at]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not LETTER.search(text):
+        if not text or not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
         p = softmax(self.logits(text) / self.temperature)
         best = int(p.argmax())
@@ -157,11 +162,14 @@ def train(docs: DataFrame) -> LanguageModel:
     """Fit on ``docs`` (text, lang, id): rows with null text or lang are left out.
 
     The sample is bounded: about MAX_SAMPLE / languages documents of each language, LEAST at
-    least.  A fifth of it, by a hash of the id, serves for the temperature only.
+    least; repeated rows count once.  Every fifth of it, in the order of label and features,
+    serves for the temperature only.  More than MAX_LANGUAGES languages are an error.
     """
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text", "lang").dropna(subset=["text", "lang"])
-    sizes = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} different values in lang")
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros(FEATURES), np.zeros((FEATURES + 1, 0)), 1.0)
@@ -173,7 +181,8 @@ def train(docs: DataFrame) -> LanguageModel:
         "lang string, label int, below long",
     )
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 30))
-    sample = docs.join(F.broadcast(sides), "lang").where(draw < F.col("below")).select("text", "label")
+    sample = docs.join(F.broadcast(sides), "lang").where(draw < F.col("below"))
+    sample = sample.select("doc_id", "text", "label").distinct().select("text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,6 +242,11 @@ def held_out(fold: int, parts: int) -> Column:
 
 
 def identify_language(docs: DataFrame, fold: int = 0, parts: int = 5) -> DataFrame:
-    """doc_id, held_out, lang_pred and score; texts and languages of held-out ids are never learnt from."""
+    """doc_id, held_out, lang_pred and score of every row; texts and languages of held-out ids are never learnt from.
+
+    Null texts and texts without a letter are ``und`` with score 0; null ids are not held out;
+    repeated rows come back as often; equal scores go to the language first in order; an
+    empty table gives no rows; other columns are not looked at.
+    """
     model = train(docs.where(~held_out(fold, parts)))
     return identify(docs, model).select("doc_id", held_out(fold, parts).alias("held_out"), "lang_pred", "score")

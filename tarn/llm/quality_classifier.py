@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import boosting
-from tarn.llm.common import id_type, small_batches, texts
+from tarn.llm.common import id_type, one_of_each_id, small_batches, texts
 
 #: Labelled documents the trees are fitted on at most (in expectation): a bounded sample by a hash of the id.
 MAX_LABELLED = 20_000
@@ -74,9 +74,12 @@ def labelled(labels: DataFrame, label_col: str, learn: Column, most: int = MAX_L
 
 
 def train(docs: DataFrame, sample: DataFrame) -> boosting.FlatTrees:
-    """Fit the trees on the statistics of the labelled documents; ``sample`` is of bounded size."""
+    """Fit the trees on the statistics of the labelled documents; ``sample`` is of bounded size.
+
+    Of rows with one id, that whose text has the least hash is learnt from.
+    """
     small_batches(docs.sparkSession)
-    rows = texts(docs).join(F.broadcast(sample), "doc_id").select("text", "label")
+    rows = one_of_each_id(texts(docs).join(F.broadcast(sample), "doc_id"), "label").select("text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +95,7 @@ def train(docs: DataFrame, sample: DataFrame) -> boosting.FlatTrees:
 
 
 def score(docs: DataFrame, model: boosting.FlatTrees) -> DataFrame:
-    """All columns of ``docs``' id and text side: doc_id and quality_score (0 to 1), null text as empty."""
+    """doc_id and quality_score (0 to 1) of every row, null text as empty; an empty table gives no rows."""
     small_batches(docs.sparkSession)
     docs = texts(docs)
 
@@ -105,7 +108,10 @@ def score(docs: DataFrame, model: boosting.FlatTrees) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: boosting.FlatTrees, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, whose text scores at least ``threshold``."""
+    """The rows of ``docs``, all columns of any names unchanged, whose text (null: empty) scores at least ``threshold``.
+
+    Repeated rows stay or go together; an empty table stays empty.
+    """
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
@@ -113,7 +119,8 @@ def keep_good(docs: DataFrame, model: boosting.FlatTrees, threshold: float = 0.5
         for batch in batches:
             yield batch.filter(pa.array(model.scores(matrix(batch.column(at).to_pylist())) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # the function takes no names with dots
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def held_out(fold: int, parts: int) -> Column:
@@ -122,7 +129,12 @@ def held_out(fold: int, parts: int) -> Column:
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, fold: int = 1, parts: int = 3) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document; labels of held-out ids are never seen."""
+    """doc_id, held_out, score and predicted of every row; labels of held-out ids are never seen.
+
+    Null texts count as empty; null ids are not held out; repeated rows come back as often;
+    without labels every score is one half; an empty table gives no rows; other columns are
+    not looked at.
+    """
     model = train(docs, labelled(labels, "quality", ~held_out(fold, parts)))
     return score(docs, model).select(
         "doc_id",

@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm.common import one_of_each_id
+
 #: Labelled documents that rules are learnt from at most (in expectation): a bounded sample by a hash of the id.
 MAX_LABELLED = 8_000
 SPACES = r"[\x20\x09-\x0D]+"
@@ -249,13 +251,14 @@ def learn_rules(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) ->
 
     Only a bounded labelled sample is read: its ids are broadcast, its statistics (ten
     numbers a document) come to the driver.  Ids labelled more than once take the majority,
-    a tie 1; no labels give no rules.
+    a tie 1; of rows with one id, that whose text has the least hash is learnt from; no labels
+    give no rules.
     """
     own = labels.select("doc_id", F.col("quality").cast("double").alias("quality")).dropna()
     own = own.groupBy("doc_id").agg((F.avg("quality") < 0.5).alias("is_bad"))
     share = min(1.0, most / max(1, own.count()))
     own = own.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")
+    rows = one_of_each_id(docs.select("doc_id", "text").join(F.broadcast(own), "doc_id"), "is_bad")
     names = features()
     rows = statistics(rows).where(~base_failed())
     found = sorted(map(tuple, rows.select("row.is_bad", *(c.alias(n) for n, c in names.items())).collect()))
@@ -286,5 +289,8 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, all columns unchanged."""
+    """The rows of ``docs`` that pass, all columns of any names unchanged.
+
+    Null, empty and blank texts fail; repeated rows stay or go together; an empty table stays empty.
+    """
     return apply_rules(docs, learn_rules(docs, labels)).where("kept").select("row.*")

@@ -1,9 +1,11 @@
 import zlib
 
 import numpy as np
+import pytest
 
-from tarn.llm import boosting
-from tarn.llm.language_id import FEATURES, ngram_counts, identify_language
+from tarn.llm import boosting, language_id, quality_classifier
+from tarn.llm.common import one_of_each_id
+from tarn.llm.language_id import FEATURES, ngram_counts, identify, identify_language, train
 from tarn.llm.quality_classifier import classify_quality, statistics
 
 SF = "/root/testdata/sf0.01"
@@ -64,3 +66,21 @@ def test_language(spark, odd_docs, no_docs):
     by = {r.doc_id: r for r in rows}
     assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (0, 2, 3))
     assert identify_language(no_docs).collect() == []
+    signs = spark.createDataFrame([(1, "²½Ⅳ 12"), (2, "²½Ⅳ é")], "doc_id long, text string")
+    model = train(docs)
+    assert [r.lang_pred == "und" for r in identify(signs, model).orderBy("doc_id").collect()] == [True, False]
+
+
+def test_repeated_rows_do_not_grow_the_samples(spark, monkeypatch):
+    rows = [(1, "der Hund und die Katze", "de", 1)] * 3000 + [(2, "the dog and the cat", "en", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, `a.b` int")
+    got = identify_language(docs).collect()
+    assert len(got) == 3001 and {r.lang_pred for r in got} <= {"de", "en"}
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert one_of_each_id(docs.select("doc_id", "text").join(labels, "doc_id"), "quality").count() == 2
+    assert classify_quality(docs, labels).count() == 3001
+    kept = quality_classifier.keep_good(docs, quality_classifier.train(docs, labels.selectExpr("doc_id", "quality AS label")))
+    assert kept.schema == docs.schema
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="more than 1"):
+        train(docs)
