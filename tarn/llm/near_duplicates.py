@@ -28,6 +28,8 @@ from tarn.llm.simhash import fingerprint
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Bits that linked fingerprints may differ in; the keys below are complete up to this.
 MAX_BITS = 4
+#: Fingerprints whose keys one task makes.
+EXPANDED = 50_000
 
 
 def fingerprints(docs: DataFrame, words_per_shingle: int = 4, id_col: str = "doc_id") -> DataFrame:
@@ -95,6 +97,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     hub = stars.groupBy("u").agg(F.min("v").alias("hub"))
     named = fps.join(hub, fps["fp"] == hub["u"], "left").select("fp", F.coalesce("hub", "fp").alias("hub"))
     named = materialize(named, "hubs")
+    # Each row is about to make a hundred: as many tasks as there is work for.
+    named = named.repartition(max(named.sparkSession.sparkContext.defaultParallelism, named.count() // EXPANDED))
 
     def side(keys: DataFrame, fp: str, hub: str) -> DataFrame:
         return keys.select("key", F.col("fp").alias(fp), F.col("hub").alias(hub))

@@ -113,7 +113,9 @@ def pack(
 
     cut = pieces(docs, path, length, end_id)
     cut = cut.withColumn(
-        "pack_group", F.pmod(F.xxhash64("doc_id", "doc_crc", F.floor(F.col("start") / block)), F.lit(groups))
+        "pack_group",
+        # With the input's partition, so that a row that occurs very often is spread over groups.
+        F.pmod(F.xxhash64("doc_id", "doc_crc", F.floor(F.col("start") / block), F.spark_partition_id()), F.lit(groups)),
     )
     schema = (
         f"doc_id {id_type(cut)}, start long, length long, ids_crc32 long, doc_tokens long,"

@@ -35,15 +35,17 @@ def write_token_ids(docs: DataFrame, out: str, path: str, end_id: int = 1) -> No
     """Encode every whole text (null: empty), append ``end_id``, write ORC to ``out`` by ascending id.
 
     Null ids come first; rows with equal ids follow each other in the order of a hash of
-    their texts, which also spreads a hot id over several files.
+    their texts, which also spreads a hot id over several files, and equal rows in the order
+    of the input's partitions, which spreads those.
     """
     small_batches(docs.sparkSession)
     docs = texts(docs)
     ranged = (
         docs.withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange("doc_id", "tie")
-        .sortWithinPartitions("doc_id", "tie")
-        .drop("tie")
+        .withColumn("origin", F.spark_partition_id())
+        .repartitionByRange("doc_id", "tie", "origin")
+        .sortWithinPartitions("doc_id", "tie", "origin")
+        .drop("tie", "origin")
     )
     end = int(end_id).to_bytes(4, "little")
 
