@@ -39,10 +39,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Folders that ``materialize`` has made and nothing has deleted, oldest first.
+MADE: list[str] = []
+
+
 def materialize(df: DataFrame, name: str, fmt: str = "parquet", **options: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, which cuts its lineage."""
+    """Write ``df`` once to the shared folder and read it back, which cuts its lineage.
+
+    The files stay until ``drop_materialized`` or ``drop_made``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(path)
     df.write.format(fmt).options(**options).save(path)
     return spark.read.schema(df.schema).format(fmt).load(path)
 
@@ -51,11 +59,28 @@ def drop_materialized(df: DataFrame) -> None:
     """Delete the files of a table made by ``materialize`` once nothing reads them any more."""
     spark = df.sparkSession
     root = shared_dir(spark)
-    jvm = spark.sparkContext._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if folder.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, folder)
+            name = folder.rsplit("/", 1)[-1]
+            MADE[:] = [m for m in MADE if m.rsplit("/", 1)[-1] != name]
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_made(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete all folders that ``materialize`` has made, after the first ``since`` of them, but for that of ``keep``.
+
+    To be called once the results that read them are written.
+    """
+    kept = {f.rsplit("/", 2)[-2] for f in keep.inputFiles()} if keep is not None else set()
+    gone = [m for m in MADE[since:] if m.rsplit("/", 1)[-1] not in kept]
+    for folder in gone:
+        _delete(spark, folder)
+    MADE[:] = [m for m in MADE if m not in gone]
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

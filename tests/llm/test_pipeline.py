@@ -5,7 +5,9 @@ sys.path.insert(0, str(Path(__file__).parents[2]))
 
 import corpus_pipeline  # noqa: E402
 
-from tarn.llm import near_duplicates, quality_rules, similar_texts  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from tarn.llm import common, near_duplicates, quality_rules, similar_texts  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -31,6 +33,30 @@ def test_any_column_names(spark):
         assert sorted(r[2] for r in keep(docs.repartition(3)).collect()) == sorted(r[2] for r in kept.collect())
 
 
+def test_run_on_odd_and_empty_tables(spark, odd_docs, tmp_path):
+    small = "/root/testdata/sf0.001"
+    own = spark.read.parquet(f"{small}/documents.parquet")
+    odd = odd_docs.selectExpr("doc_id + 1000000 AS doc_id", "text", "lang", "CAST(NULL AS STRING) AS source", "CAST(length AS LONG) AS n_chars")
+    docs = own.unionByName(odd).unionByName(own.limit(20)).withColumn("a.b", F.lit(1)).withColumn("row", F.lit("x"))
+    spark.read.parquet(f"{small}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    made = len(common.MADE)
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    rows = got.collect()
+    assert len(common.MADE) == made + 1  # only what the last stage reads is left
+    plain = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, plain, str(tmp_path))
+        assert after.schema == plain.schema
+        plain = corpus_pipeline.materialize(after, "step")
+    texts = plain.collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in texts} and len({r.doc_id for r in texts}) == len(texts)
+    assert sum(r.length for r in rows if r.start == 0) >= len(texts)
+    assert all(r.n_chars == len(r.text) for r in texts)
+    docs.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_stages(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -86,6 +86,57 @@ def test_token_files(spark, odd_docs, no_docs, tmp_path):
     assert back[0].ids == ids_of(name, "it's they'll 12345 !!!??? $$$")
 
 
+def test_token_files_have_indexes_that_look_ups_use(spark, tmp_path):
+    docs = spark.range(60_000).selectExpr("id * 2 AS doc_id", "CONCAT('word ', id % 7) AS text").coalesce(1)
+    out = str(tmp_path / "o")
+    write_token_ids(docs, out, vocabulary("word_bpe_49k.json"))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    orc = jvm.org.apache.orc
+    for file in tmp_path.glob("o/*.orc"):
+        reader = orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(file)), orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 10_000 and str(reader.getCompressionKind()) == "ZSTD"
+        rows = reader.rows()
+        at = list(reader.getSchema().getFieldNames()).index("doc_id") + 1
+        for stripe in reader.getStripes():
+            footer = rows.readStripeFooter(stripe)
+            kinds = {str(s.getKind()) for s in footer.getStreamsList() if s.getColumn() == at}
+            assert {"ROW_INDEX", "BLOOM_FILTER_UTF8", "DATA"} <= kinds
+            assert str(footer.getColumns(at).getKind()) == "DIRECT_V2"  # integer run-length encoding
+        rows.close()
+
+    def read_rows(condition):
+        df = read_token_ids(spark, out).where(condition)
+        found = df.collect()
+        scans, todo = 0, [df._jdf.queryExecution().executedPlan()]
+        while todo:
+            node = todo.pop()
+            if node.nodeName().startswith("AdaptiveSparkPlan"):
+                node = node.executedPlan()
+            name = node.nodeName()
+            if name.startswith("Scan orc") and "ids" in node.toString():
+                scans += node.metrics().apply("numOutputRows").value()
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
+            if "QueryStage" in name:
+                todo.append(node.plan())
+        return found, scans
+
+    there, some = read_rows("doc_id = 70000")
+    absent, none = read_rows("doc_id = 70001")  # within the range of a row group, so that only the Bloom filter tells
+    assert len(there) == 1 and there[0].ids == ids_of("word_bpe_49k.json", "word 0") and absent == []
+    assert 0 < some <= 10_000 and none < some
+
+
+def test_equal_rows_are_spread(spark, tmp_path):
+    docs = spark.range(3000).selectExpr("1L AS doc_id", "'the same text' AS text").repartition(8)
+    groups = {r.sequence_id >> 32 for r in pack(docs, vocabulary("byte_bpe_50k.json"), group_docs=100).collect()}
+    assert len(groups) > 1
+    write_token_ids(docs, str(tmp_path / "o"), vocabulary("word_bpe_49k.json"))
+    rows = read_token_ids(spark, str(tmp_path / "o"))
+    n = rows.first().n_tokens
+    assert sorted(r.start for r in rows.collect()) == [i * n for i in range(3000)]
+
+
 def library_counter(pieces, byte_fallback=True):
     t = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=byte_fallback))
     t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always")
