@@ -142,3 +142,47 @@ def table_info(df: DataFrame) -> DataFrame:
 def identifier(text: str) -> str:
     """A name as SQL text: quoted unless it is plain."""
     return text if re.fullmatch("[A-Za-z_][A-Za-z_0-9]*", text) else "`" + text.replace("`", "``") + "`"
+
+
+def current_user(spark: SparkSession) -> str:
+    return spark.sparkContext.sparkUser()
+
+
+def stats(df: DataFrame, column: str) -> str:
+    """A column's least and greatest value and whether it holds nulls, as text."""
+    x = F.col(f"`{column}`")
+    r = df.agg(F.min(x), F.max(x), F.coalesce(F.max(x.isNull()), F.lit(False)), F.coalesce(F.max(x.isNotNull()), F.lit(False))).first()
+    return f"[Min: {r[0]}, Max: {r[1]}][Has Null: {str(r[2]).lower()}, Has No Null: {str(r[3]).lower()}]"
+
+
+def keywords(spark: SparkSession) -> DataFrame:
+    """(keyword_name, reserved) of the SQL dialect that the session reads."""
+    return spark.sql("SELECT lower(keyword) AS keyword_name, reserved FROM sql_keywords()")
+
+
+def calendar_names(spark: SparkSession) -> DataFrame:
+    """The calendars that the platform knows."""
+    found = spark._jvm.java.time.chrono.Chronology.getAvailableChronologies()
+    names = sorted({"gregorian" if c.getId() == "ISO" else str(c.getCalendarType() or c.getId()).lower() for c in found})
+    return spark.createDataFrame([(n,) for n in names], "name string")
+
+
+def auto_complete(spark: SparkSession, text: str, most: int = 50) -> DataFrame:
+    """(suggestion, suggestion_start): tables, columns, keywords and functions that go on from the last word of ``text``."""
+    word = re.search(r"[A-Za-z_0-9]*$", text)[0]
+    known = [t.name for t in spark.catalog.listTables()]
+    columns = [c.name for t in known for c in spark.catalog.listColumns(t)]
+    names = [r.keyword_name.upper() for r in keywords(spark).collect()] + [r.function_name for r in functions(spark).collect()]
+    found = [n for n in dict.fromkeys([*known, *columns, *names]) if n.lower().startswith(word.lower())][:most]
+    return spark.createDataFrame([(n, len(text) - len(word)) for n in found], "suggestion string, suggestion_start int")
+
+
+def serialize_sql(spark: SparkSession, text: str) -> str:
+    """``json_serialize_sql``: the parsed statement as JSON; text that is no SQL is an error."""
+    return spark._jsparkSession.sessionState().sqlParser().parsePlan(text).toJSON()
+
+
+def serialize_plan(df: DataFrame, optimized: bool = True) -> str:
+    """``json_serialize_plan``: the logical plan as JSON."""
+    run = df._jdf.queryExecution()
+    return (run.optimizedPlan() if optimized else run.analyzed()).toJSON()

@@ -318,3 +318,27 @@ def aligned_union(*parts: DataFrame) -> DataFrame:
             raise ValueError("set operations need as many columns on both sides")
         out = out.union(part)
     return out.toDF(*names)
+
+
+def limit_by(df: DataFrame, rows: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """LIMIT with a subquery: the first rows in order, as many as the one value of ``rows`` says."""
+    found = rows.limit(2).collect()
+    if len(found) != 1:
+        raise ValueError("more than one row returned by a subquery used as an expression" if found else "the limit has no row")
+    return df.orderBy(*order) if found[0][0] is None else df.orderBy(*order).limit(int(found[0][0]))
+
+
+def sample_rows(df: DataFrame, rows: int | None = None, percent: float | None = None, method: str = "bernoulli", seed: int = 0) -> DataFrame:
+    """TABLESAMPLE: a fixed number of rows (reservoir), or a share of rows (bernoulli) or of partitions' rows (system)."""
+    if (rows is None) == (percent is None):
+        raise ValueError("either rows or percent")
+    if rows is not None:
+        return reservoir(df, rows, seed)
+    if not 0 <= percent <= 100:
+        raise ValueError("a percentage is between 0 and 100")
+    if method == "bernoulli":
+        return df.sample(fraction=percent / 100, seed=seed)  # by name: a seed after a share given by place is ignored
+    if method == "system":
+        block = F.floor(F.monotonically_increasing_id() / 2048)
+        return df.where(F.pmod(F.xxhash64(block, F.lit(seed)), F.lit(10_000)) < percent * 100)
+    raise ValueError(f"unknown method {method}")

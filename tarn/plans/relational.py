@@ -510,7 +510,7 @@ def reservoir_sample(t: Tables) -> DataFrame:
 
 @query()
 def bernoulli_sample(t: Tables) -> DataFrame:
-    return t.orders.sample(0.1, seed=3)
+    return relational.sample_rows(t.orders, percent=10, seed=3)
 
 
 @query()

@@ -219,3 +219,37 @@ def incremental_fetch(t: Tables) -> DataFrame:
     pieces = list(files.fetch(t.nation.select("n_nationkey"), 7))
     assert all(len(p) == 7 for p in pieces[:-1])
     return t.spark.createDataFrame([(sum(map(len, pieces)), sum(r[0] for p in pieces for r in p))], "n long, s long")
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def format_of_ones_own(t: Tables) -> DataFrame:
+    """A copy function that writes a row a line, with a tab between fields."""
+    from tarn.sources import formats
+
+    def write(rows, columns):
+        for r in rows:
+            yield ("\t".join(map(str, r)) + "\n").encode()
+
+    def read(stream, schema):
+        kinds = [int if f.dataType.typeName() in ("integer", "long") else str for f in schema.fields]
+        for line in stream.read().decode().splitlines():
+            yield tuple(k(v) for k, v in zip(kinds, line.split("\t"), strict=True))
+
+    formats.register(t.spark, "tabbed", write, read)
+    path = _folder(t, "tabbed")
+    t.region.write.format("tabbed").mode("append").save(path)
+    return t.spark.read.format("tabbed").schema(t.region.schema).load(path)
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT (SELECT count(*) // 100 FROM customer)")
+def limit_by_subquery(t: Tables) -> DataFrame:
+    from tarn.operators import relational
+
+    rows = t.customer.agg((F.floor(F.count("*") / 100)).alias("n"))
+    return relational.limit_by(t.orders, rows, [F.desc("o_totalprice"), "o_orderkey"]).select("o_orderkey")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) n FROM (SELECT o_orderkey FROM orders LIMIT 100)")
+def unordered_limit(t: Tables) -> DataFrame:
+    """Tasks stop early; which rows come is not defined, how many is."""
+    return t.orders.select("o_orderkey").limit(100).agg(F.count("*").alias("n"))

@@ -151,6 +151,7 @@ def test_samples(spark):
     assert one == [r.o_orderkey for r in queries["reservoir_sample"](spark, SF).collect()]
     share = queries["bernoulli_sample"](spark, SF).count() / len(keys)
     assert abs(share - 0.1) < 4 * math.sqrt(0.09 / len(keys))
+    assert share == queries["bernoulli_sample"](spark, SF).count() / len(keys)
 
 
 def test_approximations_are_near(spark):
@@ -236,6 +237,44 @@ def test_catalogue(spark):
     assert generic.type_name("array<decimal(5,2)>") == "DECIMAL(5,2)[]"
 
 
+def test_introspection(spark):
+    nation = spark.read.parquet(f"{SF}/nation.parquet")
+    assert generic.stats(nation, "n_nationkey") == "[Min: 0, Max: 24][Has Null: false, Has No Null: true]"
+    assert generic.keywords(spark).where("keyword_name = 'select'").count() == 1
+    assert generic.calendar_names(spark).where("name = 'gregorian'").count() == 1
+    nation.createOrReplaceTempView("tarn_words")
+    found = [tuple(r) for r in generic.auto_complete(spark, "SELECT n_na").collect()]
+    assert ("n_name", 7) in found and ("n_nationkey", 7) in found
+    spark.catalog.dropTempView("tarn_words")
+    assert "UnresolvedRelation" in generic.serialize_sql(spark, "SELECT a FROM b")
+    with pytest.raises(Exception, match="PARSE|syntax"):
+        generic.serialize_sql(spark, "SELEC a")
+    assert "LogicalRelation" in generic.serialize_plan(nation) and generic.current_user(spark)
+
+
+def test_sampling_methods(spark):
+    rows = spark.range(0, 100_000, 1, 4)
+    assert relational.sample_rows(rows, rows=70).count() == 70
+    for method in ("bernoulli", "system"):
+        n = relational.sample_rows(rows, percent=20, method=method, seed=2).count()
+        assert 10_000 < n < 30_000 and n == relational.sample_rows(rows, percent=20, method=method, seed=2).count()
+    assert relational.sample_rows(rows, percent=0, method="system").count() == 0
+    for wrong in ({}, {"rows": 1, "percent": 1}, {"percent": 101}, {"percent": 1, "method": "x"}):
+        with pytest.raises(ValueError):
+            relational.sample_rows(rows, **wrong)
+    one = spark.range(5)
+    assert relational.limit_by(one, spark.range(1).selectExpr("2 AS n"), ["id"]).count() == 2
+    assert relational.limit_by(one, spark.range(1).selectExpr("CAST(NULL AS INT) AS n"), ["id"]).count() == 5
+    with pytest.raises(ValueError, match="more than one row"):
+        relational.limit_by(one, spark.range(2), ["id"])
+
+
+def test_overflow_is_an_error(spark):
+    with pytest.raises(Exception, match="OVERFLOW|overflow"):
+        spark.sql("SELECT CAST(9223372036854775807 AS BIGINT) + id FROM range(1, 2)").collect()
+    assert values(spark.sql("SELECT try_add(9223372036854775807L, 1L), try_cast('x' AS INT)")) == [(None, None)]
+
+
 def test_shape_of_plans(spark):
     """Scans and shuffles of operators that have to hold at a large scale."""
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
