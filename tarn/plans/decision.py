@@ -47,6 +47,28 @@ SQL = {
     "lateral_column_alias": "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, round(net * (1 + l_tax), 6) AS gross FROM lineitem",
     "group_by_sum_h2o": "SELECT l_returnflag, l_suppkey, round(sum(l_quantity), 2) AS v1, round(avg(l_extendedprice), 4) AS v3 FROM lineitem GROUP BY l_returnflag, l_suppkey",
     "top_two_per_group_h2o": "SELECT l_suppkey, l_extendedprice AS largest FROM (SELECT l_suppkey, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC) AS place FROM lineitem) x WHERE place <= 2",
+    "group_by_two_keys_h2o": "SELECT l_returnflag, l_linestatus, l_suppkey, round(sum(l_extendedprice), 2) AS v1, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus, l_suppkey",
+    "group_by_many_h2o": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(sum(l_extendedprice), 2) AS v3, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber",
+    "median_and_deviation_h2o": "SELECT l_returnflag, l_suppkey, round(median(l_extendedprice), 4) AS med, round(stddev_samp(l_extendedprice), 4) AS sd FROM lineitem GROUP BY l_returnflag, l_suppkey",
+    "range_of_groups_h2o": "SELECT l_suppkey, max(l_quantity) - min(l_discount) AS span FROM lineitem GROUP BY l_suppkey",
+    "correlation_by_group_h2o": "SELECT l_returnflag, l_suppkey, round(power(corr(l_quantity, l_extendedprice), 2), 6) AS r2 FROM lineitem GROUP BY l_returnflag, l_suppkey",
+    "join_small_h2o": "SELECT l_orderkey, l_linenumber, s_name, s_acctbal FROM lineitem JOIN supplier ON l_suppkey = s_suppkey",
+    "join_medium_h2o": "SELECT l_orderkey, l_linenumber, p_name, p_retailprice FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size > 25",
+    "join_large_h2o": "SELECT l_orderkey, l_linenumber, o_totalprice, l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    "important_suppliers": """SELECT l_partkey, round(sum(l_extendedprice), 2) AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2
+        GROUP BY l_partkey HAVING sum(l_extendedprice) > (SELECT 3 * avg(v) FROM (SELECT sum(l_extendedprice) AS v FROM lineitem GROUP BY l_partkey) x) / 10""",
+    "least_cost_supplier": """WITH c AS (SELECT l_partkey, s_suppkey, s_acctbal, min(l_extendedprice / l_quantity) AS cost FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+        WHERE n_regionkey = 3 GROUP BY l_partkey, s_suppkey, s_acctbal)
+        SELECT l_partkey, s_suppkey, round(s_acctbal, 2) AS bal, round(cost, 6) AS cost FROM c WHERE cost = (SELECT min(d.cost) FROM c d WHERE d.l_partkey = c.l_partkey)""",
+    "shipping_priorities_by_status": """SELECT o_orderstatus, sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS high, sum(CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS low
+        FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_shipdate > o_orderdate GROUP BY o_orderstatus""",
+    "potential_promotion": """SELECT s_name, s_nationkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_name LIKE '%a%' GROUP BY l_suppkey
+        HAVING sum(l_quantity) > (SELECT avg(q) FROM (SELECT sum(l_quantity) AS q FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_name LIKE '%a%' GROUP BY l_suppkey) x))""",
+    "hits_by_hour": "SELECT date_trunc('hour', ts) AS h, event_type, count(*) AS hits, count(DISTINCT user_id) AS users FROM events GROUP BY date_trunc('hour', ts), event_type",
+    "busiest_users": "SELECT user_id, count(*) AS hits, round(avg(value), 4) AS mean, min(ts) AS first_seen FROM events GROUP BY user_id HAVING count(*) > 3",
+    "long_texts": "SELECT source, count(*) AS n, round(avg(length(text)), 4) AS len, min(length(text)) AS shortest FROM documents WHERE text LIKE '% the %' GROUP BY source HAVING count(*) > 1",
+    "users_seen_again": """SELECT count(*) AS users FROM (SELECT user_id FROM events WHERE event_type = 'view' INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase'
+        EXCEPT SELECT user_id FROM events WHERE event_type = 'error' AND value > 200) x""",
     "label_statistics": "SELECT lang, source, count(*) AS n, sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang, source",
     "conversation_turns": "SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS convs, max(length(text)) AS longest, round(avg(turn), 4) AS depth FROM conversations GROUP BY role",
     "page_hosts": "SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, count(*) AS pages FROM pages GROUP BY 1",
