@@ -6,7 +6,10 @@ one bit each.  The first kind meets on the segment's value.  For the second, eac
 is read as a word of the Golay code: one side is keyed by the codeword that its segment
 decodes to (distance 3 at most), the other by all codewords within distance 4 (six at
 most), which contain it whenever the segments differ by one bit.  Pairs of codeword indices
-make 24-bit keys; every candidate is verified on the whole fingerprints.
+make keys of 24 bits.  What is left of the fingerprints differs in four bits at most in the
+first case and in two in the second, so that of five (three) parts of it one is equal: its
+value makes keys of 30 bits and more, by which a billion fingerprints stay apart.  Every
+candidate is verified on the whole fingerprints.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ from tarn.llm.simhash import fingerprint
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Bits that linked fingerprints may differ in; the keys below are complete up to this.
 MAX_BITS = 4
+#: Parts of the bits outside an equal segment, and outside two segments that differ by one bit each.
+OUTSIDE_ONE, OUTSIDE_TWO = MAX_BITS + 1, MAX_BITS - 1
 #: Fingerprints whose keys one task makes.
-EXPANDED = 50_000
+EXPANDED = 25_000
 
 
 def fingerprints(docs: DataFrame, words_per_shingle: int = 4, id_col: str = "doc_id") -> DataFrame:
@@ -68,15 +73,36 @@ def segment_keys(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.tile(np.arange(len(own)), len(parts)), keys
 
 
+def parts_of(own: np.ndarray, without: tuple[int, ...], count: int) -> list[np.ndarray]:
+    """The values of ``count`` about equal parts of the bits that lie in none of the segments ``without``."""
+    rest, width = np.zeros(len(own), np.int64), 0
+    for i, (segment, (_, size)) in enumerate(zip(segments(own), SEGMENTS, strict=True)):
+        if i not in without:
+            rest, width = rest << size | segment, width + size
+    edges = [width * i // count for i in range(count + 1)]
+    return [rest >> a & np.int64((1 << b - a) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def equal_segment_keys(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each segment, its value with that of each part of the other bits."""
+    keys = []
+    for i, segment in enumerate(segments(own)):
+        for j, part in enumerate(parts_of(own, (i,), OUTSIDE_ONE)):
+            keys.append(segment | part << 22 | np.int64((OUTSIDE_ONE * i + j) << 48))
+    return np.tile(np.arange(len(own)), len(keys)), np.concatenate(keys)
+
+
 def codeword_keys(own: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each two segments, every pair of codeword indices within ``radius`` of them."""
+    """For each two segments, every pair of codeword indices within ``radius`` of them, with each part of the third."""
     near = [golay.nearby(p, radius) for p in segments(own)]
     ats, keys = [], []
     for kind, (a, b) in enumerate(combinations(range(len(near)), 2)):
         first, second = near[a][:, :, None], near[b][:, None, :]
         at, i, j = np.nonzero((first >= 0) & (second >= 0))
-        ats.append(at)
-        keys.append(first[at, i, 0] << 12 | second[at, 0, j] | np.int64(kind << 48))
+        pair = first[at, i, 0] << 12 | second[at, 0, j]
+        for n, part in enumerate(parts_of(own, (a, b), OUTSIDE_TWO)):
+            ats.append(at)
+            keys.append(pair | part[at] << 24 | np.int64((OUTSIDE_TWO * kind + n + 1 << 5) << 48))
     return np.concatenate(ats), np.concatenate(keys)
 
 
@@ -121,7 +147,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     apart = F.col("hub_u") != F.col("hub_v")
     found = [stars]
-    for index, probe in ((segment_keys, segment_keys), (radius(3), radius(4))):
+    for index, probe in ((equal_segment_keys, equal_segment_keys), (radius(3), radius(4))):
         u, v = side(with_hub(probe), "u", "hub_u"), side(with_hub(index), "v", "hub_v")
         found.append(u.join(v, (u["key"] == v["key"]) & (F.col("u") > F.col("v")) & apart & near).select("u", "v"))
     out = found[0]

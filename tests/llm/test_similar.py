@@ -7,7 +7,7 @@ import xxhash
 from tarn.llm import golay, neighbours
 from tarn.llm import queries as q
 from tarn.llm.components import connected_components
-from tarn.llm.near_duplicates import codeword_keys, fingerprint_text, near_duplicate_classes, segment_keys
+from tarn.llm.near_duplicates import codeword_keys, equal_segment_keys, fingerprint_text, near_duplicate_classes
 from tarn.llm.neighbours import nearest
 
 SF = "/root/testdata/sf0.001"
@@ -50,7 +50,7 @@ def test_keys_meet_within_four_bits():
         for bit in rng.choice(63, rng.integers(0, 5), replace=False):
             b ^= np.int64(1 << int(bit))
         one, two = np.array([a]), np.array([b])
-        exact = set(segment_keys(one)[1]) & set(segment_keys(two)[1])
+        exact = set(equal_segment_keys(one)[1]) & set(equal_segment_keys(two)[1])
         coded = set(codeword_keys(one, 4)[1]) & set(codeword_keys(two, 3)[1])
         assert exact or coded
 
