@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -33,6 +34,65 @@ def test_flat_trees_learn_and_walk_like_single_rows():
     assert len(statistics("")) == len(statistics("A b!\nA b!"))
 
 
+def test_a_stump_takes_the_best_of_all_splits():
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(120, 3)), 1)
+    y = (x[:, 1] + rng.normal(size=120) > 0.2).astype(float)
+    model = boosting.fit(x, y, trees=1, depth=1, bins=1000)
+    prior = (y.sum() + 0.5) / (len(y) + 1)
+    g, h = prior - y, np.full(len(y), prior * (1 - prior))
+
+    def worth(here):
+        return g[here].sum() ** 2 / (h[here].sum() + 1)
+
+    best = max(
+        (worth(x[:, f] <= t) + worth(x[:, f] > t), f, t)
+        for f in range(3)
+        for v in [np.unique(x[:, f])]
+        for t in (v[:-1] + v[1:]) / 2
+        if min(h[x[:, f] <= t].sum(), h[x[:, f] > t].sum()) >= 2
+    )
+    f, t = model.features[0, 0], model.thresholds[0, 0]
+    assert np.isclose(worth(x[:, f] <= t) + worth(x[:, f] > t), best[0])
+    for side, leaf in ((x[:, f] <= t, model.leaves[0, 0]), (x[:, f] > t, model.leaves[0, 1])):
+        assert np.isclose(leaf, -0.15 * g[side].sum() / (h[side].sum() + 1))
+
+
+def test_follow_the_leader_equals_single_steps():
+    rng = np.random.default_rng(9)
+    rows = [(np.sort(rng.choice(30, 5, replace=False)), rng.random(5)) for _ in range(40)]
+    labels = rng.integers(0, 3, 40)
+    got = language_id.follow_the_leader(rows, labels, 3, epochs=2)
+    z, n = {}, {}
+
+    def weight(key):
+        a, b = z.get(key, 0.0), n.get(key, 0.0)
+        return 0.0 if abs(a) <= 0.02 else -(a - math.copysign(0.02, a)) / ((1 + math.sqrt(b)) / 0.5 + 0.02)
+
+    order = np.random.default_rng(11)
+    for _ in range(2):
+        for i in order.permutation(40):
+            at, value = rows[i]
+            w = {(f, c): weight((f, c)) for f in at for c in range(3)}
+            e = [math.exp(sum(v * w[f, c] for f, v in zip(at, value))) for c in range(3)]
+            for f, v in zip(at, value):
+                for c in range(3):
+                    step = v * (e[c] / sum(e) - (c == labels[i]))
+                    b = n.get((f, c), 0.0)
+                    z[f, c] = z.get((f, c), 0.0) + step - (math.sqrt(b + step * step) - math.sqrt(b)) / 0.5 * w[f, c]
+                    n[f, c] = b + step * step
+    for f in range(30):
+        assert np.allclose(got[f], [weight((f, c)) for c in range(3)])
+    assert not got[30:].any()
+
+
+def test_long_texts_are_counted_in_blocks(monkeypatch):
+    text = "Ünï cödé 🙂 " * 40
+    want = ngram_counts(text)
+    monkeypatch.setattr(language_id, "BLOCK", 7)
+    assert (ngram_counts(text) == want).all()
+
+
 def test_quality(spark, odd_docs):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     truth = {r.doc_id: r.quality for r in labels.collect()}

@@ -72,6 +72,36 @@ def test_judge(spark, odd_docs, no_docs):
     assert kept.schema == docs.schema and {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if r.kept}
 
 
+def test_several_rules_judge_texts_they_were_not_learnt_from(spark):
+    rng = np.random.default_rng(5)
+
+    def words(n):
+        return ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(n)]
+
+    rows, bad = [], {}
+    for i in range(600):
+        own, kind = words(90), i % 3
+        if kind == 1:  # numbers instead of words
+            own[::3] = [str(int(rng.integers(1000, 99999))) for _ in own[::3]]
+        elif kind == 2:  # signs between words
+            own[::3] = [w + "#*|" for w in own[::3]]
+        rows.append((i, " ".join(own)))
+        bad[i] = kind > 0
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(not bad[i])) for i in range(300)], "doc_id long, quality int")
+    found = rules.learn_rules(docs, labels)
+    assert len(found) >= 2
+    judged = {r.doc_id: r for r in rules.apply_rules(docs, found).select("row.doc_id", "rule", "kept", "base_failed").collect()}
+    unseen = [judged[i] for i in range(300, 600)]
+    assert np.mean([r.kept != bad[r.doc_id] for r in unseen]) > 0.97
+    assert len({r.rule for r in unseen}) >= 3  # none, and two rules at least
+    stats = rules.statistics(docs).select("row.doc_id", *(c.alias(n) for n, c in rules.features().items())).toPandas()
+    tests = [r.test({n: stats[n].to_numpy(float) for n in rules.features()}) for r in found]
+    for at, i in enumerate(stats["doc_id"]):  # the first rule that holds is the one that is named
+        first = next((n for n, t in enumerate(tests, 1) if t[at]), 0)
+        assert judged[i].base_failed or judged[i].rule == first
+
+
 def test_no_python_in_the_plan(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     plan = rules.judge(docs, labels)._jdf.queryExecution().executedPlan().toString()
