@@ -1,6 +1,12 @@
-"""Time the headline queries: one JSON line."""
+"""Time the headline queries: one JSON line.
+
+With a folder of a tenth of the rows beside the one that is timed (sf0.01 beside sf0.1), the
+line also says how the times grow: ``growth`` is the power of the rows by which each does
+(0: start-up only, 1: in proportion).
+"""
 
 import json
+import math
 import os
 import time
 
@@ -28,19 +34,22 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries, _ = load()
-    times = {}
-    for name in HEADLINE:
-        best = None
-        for _ in range(2):  # the first run compiles code
+
+    def timed(name: str, folder: str, runs: int) -> float:
+        took = []
+        for _ in range(runs):
             began = time.perf_counter()
-            queries[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
-            took = time.perf_counter() - began
-            best = took if best is None else min(best, took)
-        times[name] = round(best, 4)
-    print(
-        json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 4), "unit": "sec", "queries": times, "sf": SF_DIR.rsplit("sf", 1)[-1]}),
-        flush=True,
-    )
+            queries[name](spark, folder).write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    times = {name: round(timed(name, SF_DIR, 2), 4) for name in HEADLINE}  # the first run compiles code
+    head, _, scale = SF_DIR.rpartition("sf")
+    line = {"metric": "headline_total", "value": round(sum(times.values()), 4), "unit": "sec", "queries": times, "sf": scale}
+    small = f"{head}sf{float(scale) / 10:g}" if scale.replace(".", "").isdigit() else ""
+    if small and os.path.isdir(small):
+        line["growth"] = {name: round(math.log10(took / timed(name, small, 1)), 2) for name, took in times.items()}
+    print(json.dumps(line), flush=True)
     spark.stop()
 
 
