@@ -99,10 +99,9 @@ def other_columns_hash(docs: DataFrame) -> Column:
     return F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
 
 
-def one_of_each_id(rows: DataFrame, label: str) -> DataFrame:
-    """doc_id, text and ``label``: for each id the row whose text has the least hash, so that a sample of ids bounds the rows."""
-    first = F.min_by(F.struct("text", label), F.xxhash64("text")).alias("row")
-    return rows.groupBy("doc_id").agg(first).select("doc_id", "row.text", f"row.{label}")
+def one_of_each_id(rows: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of one row for each doc_id, that of the least ``text_hash``, so that a sample of ids bounds the rows."""
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct(*columns), "text_hash").alias("row")).select("row.*")
 
 
 def id_type(df: DataFrame, column: str = "doc_id") -> str:

@@ -79,15 +79,16 @@ def train(docs: DataFrame, sample: DataFrame) -> boosting.FlatTrees:
     Of rows with one id, that whose text has the least hash is learnt from.
     """
     small_batches(docs.sparkSession)
-    rows = one_of_each_id(texts(docs).join(F.broadcast(sample), "doc_id"), "label").select("text", "label")
+    rows = texts(docs).join(F.broadcast(sample), "doc_id").select("text", "label", "doc_id", F.xxhash64("text").alias("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column(0).to_pylist())
             lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([lists, batch.column(1)], names=["x", "label"])
+            yield pa.RecordBatch.from_arrays([lists, *batch.columns[1:]], names=["x", "label", "doc_id", "text_hash"])
 
-    found = rows.mapInArrow(run, "x array<double>, label int").collect()
+    described = rows.mapInArrow(run, f"x array<double>, label int, doc_id {id_type(docs)}, text_hash long")
+    found = one_of_each_id(described, "x", "label").collect()
     x = np.array([r.x for r in found], dtype=np.float64).reshape(-1, len(FEATURES))
     y = np.array([r.label for r in found], dtype=np.float64)
     order = np.lexsort((*x.T, y))  # the fit does not depend on the order in which rows arrive

@@ -258,10 +258,11 @@ def learn_rules(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) ->
     own = own.groupBy("doc_id").agg((F.avg("quality") < 0.5).alias("is_bad"))
     share = min(1.0, most / max(1, own.count()))
     own = own.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = one_of_each_id(docs.select("doc_id", "text").join(F.broadcast(own), "doc_id"), "is_bad")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(F.broadcast(own), "doc_id")
     names = features()
     rows = statistics(rows).where(~base_failed())
-    found = sorted(map(tuple, rows.select("row.is_bad", *(c.alias(n) for n, c in names.items())).collect()))
+    rows = rows.select("row.doc_id", "row.text_hash", "row.is_bad", *(c.alias(n) for n, c in names.items()))
+    found = sorted(map(tuple, one_of_each_id(rows, "is_bad", *names).collect()))
     order = np.random.default_rng(3).permutation(len(found))
     table = np.array([found[i] for i in order], dtype=np.float64).reshape(-1, len(names) + 1)
     return learn({n: table[:, i] for i, n in enumerate(names, 1)}, table[:, 0] > 0)
