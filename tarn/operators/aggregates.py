@@ -145,10 +145,12 @@ def kahan_sum(df: DataFrame, keys: Sequence[str], value: str, name: str = "total
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float], name: str = "quantiles", continuous: bool = True
+    df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float], name: str = "quantiles", discrete: Sequence[float] = ()
 ) -> DataFrame:
     """Exact quantiles of each group as a list, however large the groups: counted per value, then looked up by running counts.
 
+    Those of ``at`` are interpolated; those of ``discrete``, which follow them, are values of the group.
+
     The counts run over range partitions, so that neither a buffer of values nor a window in
     one task holds a group.
     """
@@ -168,12 +170,11 @@ def quantiles(
 
     out = []
     for q in at:
-        if continuous:
-            place = (rows - 1) * F.lit(float(q))
-            low, high = holds(F.floor(place)), holds(F.ceil(place))
-            out.append(low + (high - low) * F.min(place - F.floor(place)))
-        else:
-            out.append(holds(F.greatest(F.ceil(rows * F.lit(float(q))) - 1, F.lit(0))))
+        place = (rows - 1) * F.lit(float(q))
+        low, high = holds(F.floor(place)), holds(F.ceil(place))
+        out.append(low + (high - low) * F.min(place - F.floor(place)))
+    for q in discrete:
+        out.append(holds(F.greatest(F.ceil(rows * F.lit(float(q))) - 1, F.lit(0))))
     return both.groupBy(*(F.col(f"v.{k}").alias(k) for k in keys)).agg(F.array(*out).alias(name))
 
 

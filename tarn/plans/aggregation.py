@@ -45,9 +45,8 @@ def first_last_any(t: Tables) -> DataFrame:
 @query("SELECT l_returnflag, round(q[1],4) a, round(q[2],4) b, round(q[3],4) c, round(d[1],4) d, round(d[2],4) e FROM (SELECT l_returnflag, quantile_cont(l_extendedprice,[0.1,0.5,0.99]) q, quantile_disc(l_extendedprice,[0.25,0.75]) d FROM lineitem GROUP BY 1)")
 def quantile_lists(t: Tables) -> DataFrame:
     li, k = t.lineitem, ["l_returnflag"]
-    q = agg.quantiles(li, k, "l_extendedprice", [0.1, 0.5, 0.99], "q").join(agg.quantiles(li, k, "l_extendedprice", [0.25, 0.75], "d", False), k)
-    names = {"a": ("q", 0), "b": ("q", 1), "c": ("q", 2), "d": ("d", 0), "e": ("d", 1)}
-    return q.select("l_returnflag", *(F.round(F.get(F.col(c), F.lit(i)), 4).alias(n) for n, (c, i) in names.items()))
+    q = agg.quantiles(li, k, "l_extendedprice", [0.1, 0.5, 0.99], "q", [0.25, 0.75])
+    return q.select("l_returnflag", *(F.round(F.get("q", F.lit(i)), 4).alias(n) for i, n in enumerate("abcde")))
 
 
 @query("SELECT event_type, round(extract(epoch FROM mad(ts)),3) AS dev, date_trunc('second', median(ts)) AS middle FROM events GROUP BY 1")

@@ -274,9 +274,8 @@ def ordered_aggregates(t: Tables) -> DataFrame:
 @query("SELECT event_type, round(median(value),4) med, round(quantile_cont(value,0.9),4) q9, round(mad(value),4) dev, round(quantile_disc(value,0.25),4) qd FROM events GROUP BY 1")
 def quantiles(t: Tables) -> DataFrame:
     e, k = t.events, ["event_type"]
-    q = agg.quantiles(e, k, "value", [0.5, 0.9], "c").join(agg.quantiles(e, k, "value", [0.25], "d", False), k)
-    q = q.join(agg.mad(e, k, "value", "dev"), k)
-    values = {"med": F.get("c", F.lit(0)), "q9": F.get("c", F.lit(1)), "dev": F.col("dev"), "qd": F.get("d", F.lit(0))}
+    q = agg.quantiles(e, k, "value", [0.5, 0.9], "q", [0.25]).join(agg.mad(e, k, "value", "dev"), k)
+    values = {"med": F.get("q", F.lit(0)), "q9": F.get("q", F.lit(1)), "dev": F.col("dev"), "qd": F.get("q", F.lit(2))}
     return q.select("event_type", *(F.round(c, 4).alias(n) for n, c in values.items()))
 
 
