@@ -143,17 +143,27 @@ def band_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, be
     return one.join(two, near).drop("bucket_l", "bucket_r")
 
 
+def _ranged(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """``df`` in sorted range partitions, with ``part`` (in their order) and ``place`` (increasing) of each row.
+
+    The rows are shuffled here, once.  Whoever reads the result reads those partitions: planned
+    twice, the bounds are drawn from another sample and the partitions are merged in another
+    way, so that what one reader counts in a partition is not what the other finds there.
+    """
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = ranged.withColumn("place", F.monotonically_increasing_id()).withColumn("part", F.shiftright("place", 33))
+    own = ranged._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(own.queryExecution().toRdd(), own.schema(), False), spark)
+
+
 def with_position(df: DataFrame, order: Sequence[Column | str], name: str = "position") -> DataFrame:
     """Global row numbers from 1 without sorting everything in one task.
 
     The rows are range-partitioned and sorted; each partition numbers its own rows, and the
     counts of the partitions before it, one number each, are added.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("place", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("part", F.shiftright("place", 33)).withColumn(
-        "inner_place", F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
-    )
+    ranged = _ranged(df, order).withColumn("inner_place", F.col("place").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = ranged.groupBy("part").agg(F.count("*").alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(F.col("part").alias("own"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
@@ -161,20 +171,26 @@ def with_position(df: DataFrame, order: Sequence[Column | str], name: str = "pos
     return out.select(*df.columns, (F.col("start") + F.col("inner_place") + 1).alias(name))
 
 
-def running_sum(df: DataFrame, value: str, order: Sequence[Column | str], name: str = "running") -> DataFrame:
+def running_sum(
+    df: DataFrame, value: str, order: Sequence[Column | str], name: str = "running", peers: bool = False
+) -> DataFrame:
     """Sums of ``value`` up to each row, over the whole table, without sorting everything in one task.
 
     As ``with_position``: each range partition sums its own rows, and the totals of those
-    before it, one number each, are added.  Rows are taken one by one, also equal ones.
+    before it, one number each, are added.  Rows are taken one by one, also equal ones; with
+    ``peers`` rows of equal order share the sum up to the last of them.  Null values add
+    nothing, and the sum is null until there is a value.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("place", F.monotonically_increasing_id()).withColumn("part", F.shiftright("place", 33))
+    ranged = _ranged(df, order)
     totals = ranged.groupBy("part").agg(F.sum(value).alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(F.col("part").alias("own"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
-    inner = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = totals.select(F.col("part").alias("own"), F.sum("total").over(before).alias("start"))
+    # Rows of equal order lie in one range partition.
+    inner = Window.partitionBy("part").orderBy(*(order if peers else ["place"]))
+    inner = (inner.rangeBetween if peers else inner.rowsBetween)(Window.unboundedPreceding, Window.currentRow)
     summed = ranged.withColumn("inner_sum", F.sum(value).over(inner)).join(F.broadcast(starts), F.col("part") == F.col("own"))
-    return summed.select(*df.columns, (F.col("start") + F.coalesce("inner_sum", F.lit(0))).alias(name))
+    upto = F.coalesce(F.col("start") + F.col("inner_sum"), "inner_sum", "start")
+    return summed.select(*df.columns, upto.alias(name))
 
 
 def positional_join(

@@ -287,3 +287,17 @@ def test_shape_of_plans(spark):
     low, high = events.select(F.col("event_id").alias("a"), F.col("ts").alias("x")), events.select(F.col("ts").alias("y"))
     spread = joins.asof_join(low, high, "x", "y", width=3600.0)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(bucket" in spread
+
+
+@pytest.mark.parametrize("merged", ["true", "false"])
+def test_positions_and_running_sums_over_many_range_partitions(spark, merged):
+    # So many rows that the bounds of the partitions are drawn from a sample; columns that only one reader needs.
+    rows, option = 120_000, "spark.sql.adaptive.coalescePartitions.enabled"
+    df = spark.range(0, rows, 1, 6).selectExpr("id * 7919 % 120000 AS k", "id AS v", "uuid() AS pad")
+    right = (F.col("n") == F.col("k") + 1) & (F.col("s") == (F.col("k") * (F.col("k") + 1) / 2).cast("long"))
+    spark.conf.set(option, merged)
+    try:
+        both = joins.with_position(joins.running_sum(df, "k", ["k"], "s"), ["k"], "n")
+        assert values(both.agg(F.count("*"), F.count_if(right), F.countDistinct("pad"))) == [(rows, rows, rows)]
+    finally:
+        spark.conf.unset(option)
