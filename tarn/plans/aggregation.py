@@ -138,9 +138,10 @@ def window_order_by_collation(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) n, sum(CAST(round(o_totalprice*100) AS BIGINT)) OVER (ORDER BY o_orderdate, o_orderkey)::BIGINT s FROM orders")
 def running_window_without_partitions(t: Tables) -> DataFrame:
-    order = ["o_orderdate", "o_orderkey"]
-    cents = t.orders.select(*order, F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
-    return joins.with_position(joins.running_sum(cents, "cents", order, "s"), order, "n").select("o_orderkey", "n", "s")
+    order = [F.col(c).asc_nulls_last() for c in ("o_orderdate", "o_orderkey")]
+    cents = t.orders.select("o_orderdate", "o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    summed = joins.running_sum(cents, "cents", order, "s", peers=True)
+    return joins.with_position(summed, order, "n").select("o_orderkey", "n", "s")
 
 
 @query("SELECT event_id, event_type, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) OVER w AS high, last_value(nullif(event_type,'view') IGNORE NULLS) OVER w AS last_other FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")

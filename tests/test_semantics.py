@@ -301,3 +301,18 @@ def test_positions_and_running_sums_over_many_range_partitions(spark, merged):
         assert values(both.agg(F.count("*"), F.count_if(right), F.countDistinct("pad"))) == [(rows, rows, rows)]
     finally:
         spark.conf.unset(option)
+
+
+def test_running_window_with_nulls_and_ties(spark, tmp_path):
+    import duckdb
+
+    queries, oracle = load()
+    name = "running_window_without_partitions"
+    own = "o_orderkey long, o_totalprice double, o_orderdate timestamp"
+    rows = [(1, None, "2020-01-01"), (2, 1.5, "2020-01-02"), (2, 2.5, "2020-01-02"), (None, 4.0, "2020-01-02"), (3, 8.0, None), (4, None, "2020-01-03")]
+    df = spark.createDataFrame(rows, own.replace("timestamp", "string")).withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
+    df.repartition(3).write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    want = con.execute(oracle[name]).fetchall()
+    assert sorted(values(queries[name](spark, str(tmp_path))), key=str) == sorted(want, key=str)
