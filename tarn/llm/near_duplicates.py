@@ -112,13 +112,16 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     First every bucket's members are tried against its least member only.  What two members
     share such a neighbour is connected already, so that the bucket join, which tries all
     others, emits no pairs from inside a dense group around one fingerprint.
+
+    Spark takes a table of keys for as small as the fingerprints it is made from, and would
+    broadcast it; the joins on keys are sort-merge joins by name.
     """
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"max_bits must be between 0 and {MAX_BITS}")
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits
     exact = _keys(fps, segment_keys)
     hubs = exact.groupBy("key").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = exact.withColumnRenamed("fp", "u").join(hubs, "key").where("u > v").where(near).select("u", "v")
+    stars = exact.withColumnRenamed("fp", "u").join(hubs.hint("merge"), "key").where("u > v").where(near).select("u", "v")
     stars = materialize(stars.distinct(), "stars")
     hub = stars.groupBy("u").agg(F.min("v").alias("hub"))
     named = fps.join(hub, fps["fp"] == hub["u"], "left").select("fp", F.coalesce("hub", "fp").alias("hub"))
@@ -149,7 +152,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     found = [stars]
     for index, probe in ((equal_segment_keys, equal_segment_keys), (radius(3), radius(4))):
         u, v = side(with_hub(probe), "u", "hub_u"), side(with_hub(index), "v", "hub_v")
-        found.append(u.join(v, (u["key"] == v["key"]) & (F.col("u") > F.col("v")) & apart & near).select("u", "v"))
+        met = (u["key"] == v["key"]) & (F.col("u") > F.col("v")) & apart & near
+        found.append(u.join(v.hint("merge"), met).select("u", "v"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

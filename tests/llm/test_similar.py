@@ -7,7 +7,7 @@ import xxhash
 from tarn.llm import golay, neighbours
 from tarn.llm import queries as q
 from tarn.llm.components import connected_components
-from tarn.llm.near_duplicates import codeword_keys, equal_segment_keys, fingerprint_text, near_duplicate_classes
+from tarn.llm.near_duplicates import codeword_keys, equal_segment_keys, fingerprint_text, links, near_duplicate_classes
 from tarn.llm.neighbours import nearest
 
 SF = "/root/testdata/sf0.001"
@@ -55,6 +55,13 @@ def test_keys_meet_within_four_bits():
         assert exact or coded
 
 
+def test_keys_are_not_broadcast(spark):
+    # A few fingerprints make a hundred times as many keys, which Spark takes for as few.
+    rows = [(int(x),) for x in np.random.default_rng(3).integers(-(1 << 63), 1 << 63, 500)]
+    plan = links(spark.createDataFrame(rows, "fp long"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(100 + i, 101 + i) for i in range(30)]
