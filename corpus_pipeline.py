@@ -38,7 +38,8 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of least id, of each component of texts whose 5-word shingles are similar by 0.8 or more.
 
-    Texts without words are similar to each other.
+    Pairs come from operator 10's fingerprints and Golay keys, and those it cannot find from
+    prefixes of the shingle sets; all are verified.  Texts without words are similar to each other.
     """
     return similar_texts.keep_one(docs)
 

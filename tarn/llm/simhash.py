@@ -30,12 +30,8 @@ def shingle_hashes(text: str | None, words_per_shingle: int) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(first, end, strict=True)], dtype="<u8")
 
 
-def fingerprint(text: str | None, words_per_shingle: int = 4) -> int:
-    """64 bits: bit i is 1 if over half of the shingles' hashes have it; no words: zero.
-
-    Repeated shingles count as often as they occur.
-    """
-    hashes = shingle_hashes(text, words_per_shingle)
+def majority(hashes: np.ndarray) -> int:
+    """64 bits: bit i is 1 if over half of ``hashes`` have it; zero if there are none."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, dtype=np.int64)
@@ -43,3 +39,11 @@ def fingerprint(text: str | None, words_per_shingle: int = 4) -> int:
         bits = np.unpackbits(hashes[at : at + BLOCK].view(np.uint8), bitorder="little")
         ones += bits.reshape(-1, 64).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, words_per_shingle: int = 4) -> int:
+    """The majority of the shingles' hashes; no words: zero.
+
+    Repeated shingles count as often as they occur.
+    """
+    return majority(shingle_hashes(text, words_per_shingle))

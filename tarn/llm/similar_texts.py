@@ -1,5 +1,10 @@
 """Texts of a Jaccard similarity of at least 4/5 on distinct word shingles, without loss.
 
+First come operator 10's links: SimHash fingerprints of the shingle sets that differ in four
+bits at most, by Golay keys.  Few pairs of that similarity are so near, and not all that are
+so near are similar, so that these links are verified on the whole sets like all others, and
+the rest is found by prefixes.
+
 Shingles are ordered the same way everywhere: by hash, but common ones last.  Of two sets
 as similar as that, the least shingle they share is among the first fifth (and one) of
 both, so that equal keys from these prefixes meet every pair, and what comes after it is
@@ -19,9 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import drop_materialized, id_type, materialize, other_columns_hash, small_batches, whole_row
+from tarn.llm import near_duplicates
+from tarn.llm.common import (
+    drop_materialized,
+    drop_shuffles,
+    id_type,
+    materialize,
+    other_columns_hash,
+    small_batches,
+    whole_row,
+)
 from tarn.llm.components import connected_components
-from tarn.llm.simhash import shingle_hashes
+from tarn.llm.simhash import majority, shingle_hashes
 
 WORDS = 5
 #: The least similarity, as a fraction.
@@ -81,12 +95,13 @@ def _named(base: DataFrame) -> DataFrame:
                 pa.array([name_of(s) for s in sets], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([sketch(s) for s in sets], pa.binary()),
+                pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64)),
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *made], names=["rk", "doc_id", "set", "n", "sketch"]
+                [batch.column(0), batch.column(1), *made], names=["rk", "doc_id", "set", "n", "sketch", "fp"]
             )
 
-    schema = f"rk long, doc_id {id_type(base)}, set long, n long, sketch binary"
+    schema = f"rk long, doc_id {id_type(base)}, set long, n long, sketch binary, fp long"
     return base.select("rk", "doc_id", "text").mapInArrow(run, schema)
 
 
@@ -183,14 +198,31 @@ def _verified(pairs: DataFrame, base: DataFrame, known: DataFrame) -> DataFrame:
     return out
 
 
+def fingerprint_pairs(known: DataFrame) -> DataFrame:
+    """Pairs (u, v) of the sets of ``known`` (set, fp) that connect all whose fingerprints operator 10 links.
+
+    Each set is paired with the least one of its fingerprint, and of linked fingerprints the
+    least ones with each other.
+    """
+    heads = materialize(known.groupBy("fp").agg(F.min("set").alias("head")), "heads")
+    own = known.join(heads, "fp").select(F.col("set").alias("u"), F.col("head").alias("v")).where("u <> v")
+    met = near_duplicates.links(heads.select("fp")).distinct()
+    one = heads.select(F.col("fp").alias("u"), F.col("head").alias("one"))
+    two = heads.select(F.col("fp").alias("v"), F.col("head").alias("two"))
+    across = met.join(one, "u").join(two, "v").select(F.col("one").alias("u"), F.col("two").alias("v"))
+    return own.unionByName(across)
+
+
 def links(base: DataFrame, known: DataFrame, rows: int) -> DataFrame:
-    """Links (u, v) that connect exactly the different sets of ``known`` (set, n, sketch, rank) that are similar enough.
+    """Links (u, v) that connect exactly the different sets of ``known`` (set, n, sketch, fp, rank) that are similar enough.
 
-    First every set is tried against one other only, the one that is the hub of most of its
-    buckets; what that connects is not tried again, so that a dense group makes no pairs of its
+    First the pairs of linked fingerprints are tried, and every set against one other only, the one
+    that is the hub of most of its buckets; what these connect is not tried again, so that a dense group makes no pairs of its
     members.  A bucket's hub is the member with the fewest shingles before the bucket's, as the
     middle of a group of variants has none of its own.
     """
+    near = materialize(fingerprint_pairs(known.select("set", "fp")), "near-fingerprints")
+    drop_shuffles(known.sparkSession)
     keys = _prefix_keys(base, *_common(base, rows)).repartition("key")
     rank = F.shiftleft(F.col("place").cast("long"), 40) + F.col("set").bitwiseAND(F.lit((1 << 40) - 1))
     hubs = keys.groupBy("key").agg(F.min_by("set", rank).alias("hub"), F.min("set").alias("least"), F.max("set").alias("last"))
@@ -198,7 +230,9 @@ def links(base: DataFrame, known: DataFrame, rows: int) -> DataFrame:
     shared = materialize(keys.join(hubs, "key").distinct(), "shared-keys")
     tried = shared.where("set <> hub").groupBy("set", "hub").agg(F.count("*").alias("times"))
     tried = tried.groupBy("set").agg(F.max(F.struct("times", "hub")).alias("best"))
-    stars = _verified(tried.select(F.col("set").alias("u"), F.col("best.hub").alias("v")), base, known)
+    first = tried.select(F.col("set").alias("u"), F.col("best.hub").alias("v")).unionByName(near)
+    first = first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    stars = _verified(first, base, known)
     groups = materialize(connected_components(stars), "groups")
     own = known.select("set", "n").join(groups, known["set"] == groups["node"], "left")
     own = own.select("set", "n", F.coalesce("root", "set").alias("root"))
@@ -227,7 +261,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     base = base.withColumn("rk", F.xxhash64("doc_id", "text"))
     named = materialize(_named(base), "named-sets")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("rk"))
-    least = named.groupBy("set").agg(F.min(rank).alias("rank"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    least = named.groupBy("set").agg(F.min(rank).alias("rank"), *(F.first(c).alias(c) for c in ("n", "sketch", "fp")))
     least = materialize(least, "sets")
     found = connected_components(links(base, least, named.count()))
     rooted = least.join(found, least["set"] == found["node"], "left")

@@ -84,3 +84,28 @@ def test_sketches_never_overstate_a_difference():
         assert similar_texts.differing(similar_texts.sketch(own), similar_texts.sketch(other)) <= len(np.setxor1d(own, other))
     far = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64))
     assert 9 * similar_texts.differing(similar_texts.sketch(own), similar_texts.sketch(far)) > len(own) + len(far)
+
+
+def test_fingerprints_link_sets(spark, monkeypatch):
+    # The stage tries the pairs of operator 10's links: they connect what all pairs within four bits connect.
+    rng = np.random.default_rng(6)
+    fps = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 40)]
+    fps += [f ^ (1 << int(b)) ^ (1 << int(c)) for f in fps[:30] for b, c in rng.integers(0, 60, (4, 2))] + fps[:10]
+    seen = []
+    pairs = similar_texts.fingerprint_pairs
+    found = pairs(spark.createDataFrame(list(enumerate(fps)), "set long, fp long")).collect()
+    bits = np.bitwise_count(np.array(fps)[:, None].view(np.uint64) ^ np.array(fps)[None, :].view(np.uint64))
+
+    def classes(linked):
+        label = list(range(len(fps)))
+        for a, b in linked:
+            label = [label[b] if x == label[a] else x for x in label]
+        return [label.index(x) for x in label]
+
+    assert classes([(r.u, r.v) for r in found]) == classes(np.argwhere(bits <= 4).tolist())
+    monkeypatch.setattr(similar_texts, "fingerprint_pairs", lambda known: seen.append(pairs(known)) or seen[-1])
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-1] + ["e"])), (3, "other words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in similar_texts.keep_one(docs).collect()) == [1, 3]
+    assert seen[0].count() == 1
