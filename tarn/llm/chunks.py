@@ -5,6 +5,9 @@ match of those patterns runs from a non-space into a following space.  A text wh
 only white space is blanks and line feeds therefore tokenises as the concatenation of
 its chunks (white space, then a run of other characters), and chunks repeat, so their
 ids are kept in bounded tables.  Texts with any other white space take the direct way.
+
+Where white space only separates, Arrow numbers the words of a batch, so that each different
+word is looked up once and the ids are gathered by number.
 """
 
 from __future__ import annotations
@@ -12,6 +15,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space, or what some pattern may take for it, other than blank and line feed.
 ODD_ASCII = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
@@ -74,3 +81,58 @@ class ChunkTable:
         plain = self._fill([b[0] for b in both], self.plain, "")
         after = self._fill([b[1] for b in both], self.after, " ") if self.glue else None
         return [p + a for p, a in zip(plain, after, strict=True)] if after else plain
+
+    def _each(self, chunks: list[str]) -> list:
+        """The values of different chunks; none is kept for the empty one, whose value is no bytes."""
+        young, old = self.plain
+        found = list(map(young.get, chunks))
+        gaps = [i for i, v in enumerate(found) if v is None]
+        unseen = []
+        for i in gaps:
+            chunk = chunks[i]
+            value = found[i] = old.get(chunk) if chunk else b""
+            if value is None:
+                unseen.append(i)
+            elif chunk:
+                young[chunk] = value
+        for at in range(0, len(unseen), 4096):
+            some = unseen[at : at + 4096]
+            for i, value in zip(some, self.encode_many([chunks[i] for i in some]), strict=True):
+                found[i] = value
+                if len(chunks[i]) <= 200:  # as in _fill
+                    young[chunks[i]] = value
+        if len(young) > self.limit:
+            self.plain[:] = {}, young
+        return found
+
+    def ids(self, batch: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, ``end`` after each (null: empty), and their number in each.
+
+        For tables without glue whose values are little-endian 32-bit ids.
+        """
+        texts = [t or "" for t in batch.to_pylist()]
+        odd = [i for i, t in enumerate(texts) if has_odd_space(t)]
+        whole = [texts[i] for i in odd]
+        for i in odd:
+            texts[i] = ""
+        plain = pa.array(texts, batch.type)
+        del texts
+        lists = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
+        bounds = lists.offsets.to_numpy()
+        coded = lists.values.dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        values = [*self._each(different + whole), end]
+        # Each text's words and its end; a whole text stands where its empty substitute was.
+        codes = np.full(bounds[-1] + len(plain), len(values) - 1, np.int32)
+        stops = bounds[1:] + np.arange(len(plain))
+        own = np.ones(len(codes), bool)
+        own[stops] = False
+        codes[own] = coded.indices.to_numpy()
+        codes[stops[odd] - 1] = len(different) + np.arange(len(odd))
+        sizes = np.array([len(v) // 4 for v in values], np.int64)
+        starts, known = sizes.cumsum() - sizes, np.frombuffer(b"".join(values), "<i4")
+        n = sizes[codes]
+        ends = n.cumsum()
+        at = np.repeat((starts[codes] - (ends - n)).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
+        return known[at], np.diff(ends[stops], prepend=0)

@@ -55,18 +55,16 @@ def write_token_ids(docs: DataFrame, out: str, path: str, end_id: int = 1) -> No
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [b"".join(v) + end for v in chunk_ids.values([t or "" for t in batch.column(1).to_pylist()])]
-            counts = np.array([len(r) // 4 for r in rows], dtype=np.int64)
+            flat, counts = chunk_ids.ids(batch.column(1), end)
             ends = counts.cumsum()
-            ids = pa.array(np.frombuffer(b"".join(rows), dtype="<i4"))
             bounds = pa.array(np.concatenate(([0], ends)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array(np.full(len(rows), part, np.int32)),
+                    pa.array(np.full(len(counts), part, np.int32)),
                     pa.array(at + ends - counts),
                     pa.array(counts),
-                    pa.ListArray.from_arrays(bounds, ids),
+                    pa.ListArray.from_arrays(bounds, pa.array(flat)),
                 ],
                 names=["doc_id", "part", "part_start", "n_tokens", "ids"],
             )

@@ -67,6 +67,7 @@ def id_bytes(path: str, glue: bool) -> ChunkTable:
         steps = json.load(file)
     known: dict[str, bytes] = {}
     letters = byte_letters()
+    packed = [i.to_bytes(4, "little") for i in range(1 + max(tokenizer.get_vocab().values(), default=0))]
     found = piece_pattern(steps)
     pieces = regex.compile(found[0]).findall if found else None
     lower = bool(found and found[1])
@@ -85,7 +86,7 @@ def id_bytes(path: str, glue: bool) -> ChunkTable:
             tokens = model.tokenize(
                 piece.replace(" ", letters[32]) if plain else "".join([letters[b] for b in piece.encode()])
             )
-            own = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+            own = b"".join([packed[t.id] for t in tokens])
             if len(piece) <= 100:
                 if len(known) >= PIECES:
                     known.clear()

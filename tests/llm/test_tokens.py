@@ -1,13 +1,14 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from tarn.llm.packing import first_fit_decreasing, pack
 from tarn.llm.token_counts import UnigramCounter, count_tokens, counter_for
 from tarn.llm.token_output import crc32_of_ids, read_token_ids, token_files, write_token_ids
-from tarn.llm.tokenizer_files import vocabulary
+from tarn.llm.tokenizer_files import id_bytes, vocabulary
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
 
@@ -86,6 +87,34 @@ def test_token_files(spark, odd_docs, no_docs, tmp_path):
     assert back[0].ids == ids_of(name, "it's they'll 12345 !!!??? $$$")
 
 
+def test_words_of_a_batch_are_looked_up_once(odd_docs):
+    name = "word_bpe_49k.json"
+    texts = [r.text for r in odd_docs.select("text").collect()]
+    texts += ["one two\n\none  two", "", "a\u2003b a", None, " ", "\n", "two one", "İ Σας ΟΔΟΣ one"]
+    seen, library = [], Tokenizer.from_file(vocabulary(name))
+
+    class Counting(dict):
+        def get(self, key, default=None):
+            seen.append(key)
+            return dict.get(self, key, default)
+
+    table = id_bytes(vocabulary(name), False)
+    table.plain[:] = Counting(), {}
+    end = (1).to_bytes(4, "little")
+    for limit in (table.limit, 1):
+        table.limit = limit
+        for kind in (pa.string(), pa.large_string()):
+            for own in (texts, texts[::-1], [None], ["\t"], []):
+                flat, counts = table.ids(pa.array(own, kind), end)
+                want = [[*library.encode(t or "", add_special_tokens=False).ids, 1] for t in own]
+                assert flat.tolist() == [i for w in want for i in w]
+                assert counts.tolist() == [len(w) for w in want]
+            if limit > 1:
+                assert seen.count("one") == 2 and seen.count("plain") == 2  # once in each batch that has them
+                seen.clear()
+    id_bytes.cache_clear()
+
+
 def test_token_files_have_indexes_that_look_ups_use(spark, tmp_path):
     docs = spark.range(60_000).selectExpr("id * 2 AS doc_id", "CONCAT('word ', id % 7) AS text").coalesce(1)
     out = str(tmp_path / "o")
