@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from tarn.llm import near_duplicates
 from tarn.llm.common import (
+    MADE,
+    drop_made,
     drop_materialized,
     drop_shuffles,
     id_type,
@@ -256,7 +258,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     greater than any other; of rows with equal ids and texts one
     stays, that whose other columns have the least hash; an empty table stays empty.
     """
-    small_batches(docs.sparkSession)
+    spark, before = docs.sparkSession, len(MADE)
+    small_batches(spark)
     base = docs.select(whole_row(docs).alias("row"), other_columns_hash(docs).alias("rest"), "doc_id", "text")
     base = base.withColumn("rk", F.xxhash64("doc_id", "text"))
     named = materialize(_named(base), "named-sets")
@@ -266,6 +269,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = connected_components(links(base, least, named.count()))
     rooted = least.join(found, least["set"] == found["node"], "left")
     first = rooted.groupBy(F.coalesce("root", "set")).agg(F.min("rank").alias("rank")).select("rank.rk", "rank.id")
-    met = (base["rk"] == first["rk"]) & base["doc_id"].eqNullSafe(first["id"])
-    stay = base.join(first, met, "left_semi").groupBy("rk", "doc_id").agg(F.min_by("row", "rest").alias("row"))
-    return stay.select("row.*")
+    first = materialize(first, "first-rows")
+    # The rows are about to be shuffled: nothing else needs to lie on the disks.
+    drop_made(spark, before, keep=first)
+    drop_shuffles(spark)
+    return _rows_of(base, first).select("row.*")
+
+
+def _rows_of(base: DataFrame, first: DataFrame) -> DataFrame:
+    """One row of ``base`` for each of ``first`` (rk, id), that whose ``rest`` is least.
+
+    The join is on rk alone, by which the groups lie together too, so that rows are shuffled once.
+    """
+    ids = first.groupBy("rk").agg(F.collect_list(F.struct("id")).alias("ids"))
+    met = base.join(ids.hint("merge"), "rk").where(F.exists("ids", lambda x: x["id"].eqNullSafe(F.col("doc_id"))))
+    return met.groupBy("rk", "doc_id").agg(F.min_by("row", "rest").alias("row"))

@@ -9,7 +9,9 @@ sys.path.insert(0, str(Path(__file__).parents[2]))
 
 import corpus_pipeline  # noqa: E402
 
-from tarn.llm import similar_texts  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from tarn.llm import common, similar_texts  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -109,3 +111,15 @@ def test_fingerprints_link_sets(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in similar_texts.keep_one(docs).collect()) == [1, 3]
     assert seen[0].count() == 1
+
+
+def test_rows_are_shuffled_once_and_nothing_else_stays(spark, odd_docs):
+    before = len(common.MADE)
+    kept = similar_texts.keep_one(odd_docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert len([line for line in plan.splitlines() if "Exchange" in line]) == 2  # rows, and the ids that stay
+    assert [m.rsplit("/", 1)[-1].rsplit("-", 1)[0] for m in common.MADE[before:]] == ["first-rows"]
+    base = odd_docs.select(F.struct("doc_id", "length").alias("row"), F.col("length").alias("rest"), "doc_id")
+    first = spark.createDataFrame([(7, None), (7, 1), (7, 99)], "rk long, id long")  # a hash that ids share
+    got = similar_texts._rows_of(base.withColumn("rk", F.lit(7).cast("long")), first).collect()
+    assert sorted((str(r.doc_id), tuple(r.row)) for r in got) == [("1", (1, 0)), ("None", (None, 5))]
