@@ -6,13 +6,15 @@ only white space is blanks and line feeds therefore tokenises as the concatenati
 its chunks (white space, then a run of other characters), and chunks repeat, so their
 ids are kept in bounded tables.  Texts with any other white space take the direct way.
 
-Where white space only separates, Arrow numbers the words of a batch, so that each different
-word is looked up once and the ids are gathered by number.
+Arrow numbers the chunks of a batch, so that each different one is looked up once and the ids
+are gathered by number.  Where the pattern is known to part them, letters and the punctuation
+that follows them are chunks of their own, and so is a line feed alone between other characters.
 """
 
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Callable
 
 import numpy as np
@@ -23,6 +25,12 @@ CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space, or what some pattern may take for it, other than blank and line feed.
 ODD_ASCII = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 ODD_OTHER = "\x85\xa0 ᠎    　﻿" + "".join(map(chr, range(0x2000, 0x200C)))
+#: What a byte is: white space of chunks, punctuation, a letter, or other.
+OTHER, SPACE, STOP, LETTER = range(4)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[list(b" \n")] = SPACE
+KIND[list(string.punctuation.encode())] = STOP
+KIND[list(string.ascii_letters.encode())] = LETTER
 #: Entries of a generation of a table: with the one before it, they bound a worker's memory.
 LIMIT = 300_000
 
@@ -31,15 +39,52 @@ def has_odd_space(text: str) -> bool:
     return any(c in text for c in ODD_ASCII) or (not text.isascii() and any(c in text for c in ODD_OTHER))
 
 
+def cuts(data: np.ndarray, bounds: np.ndarray, whole: list[int], parts: bool, uncut: list[int]) -> np.ndarray:
+    """Where chunks start in ``data``, the UTF-8 bytes of texts that start at ``bounds``, and the end.
+
+    White space and the run of other characters after it are a chunk; a text of ``whole`` is one
+    alone.  With ``parts``, except in the texts of ``uncut``, punctuation after a letter of ASCII
+    or Latin-1 and what follows a single line feed start a chunk as well.
+    """
+    kind = KIND[data]
+    space = kind == SPACE
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = space[1:] & ~space[:-1]
+    if parts:
+        letter = kind == LETTER
+        latin = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # but for the signs of times and division
+        letter[1:] |= latin
+        own = np.zeros(len(cut), bool)
+        own[1:-1] = (kind[1:] == STOP) & letter[:-1]
+        own[2:-1] |= (data[1:-1] == 10) & ~space[:-2] & ~space[2:]
+        for i in uncut:
+            own[bounds[i] : bounds[i + 1]] = False
+        cut |= own
+    for i in whole:
+        cut[bounds[i] : bounds[i + 1]] = False
+    cut[bounds] = True
+    return np.flatnonzero(cut)
+
+
 class ChunkTable:
     """Chunk -> value tables; ``encode_many`` maps a list of unseen strings to their values.
 
     ``glue`` tells whether white space belongs to the chunk (it starts pieces) or only
-    separates (it is dropped by the tokenizer).
+    separates (it is dropped by the tokenizer).  ``parts`` tells that the pattern always parts
+    letters from the punctuation after them, and a single line feed from both its neighbours,
+    but for the strings in ``special``, which may lie across.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list], glue: bool = True, limit: int = LIMIT):
+    def __init__(
+        self,
+        encode_many: Callable[[list[str]], list],
+        glue: bool = True,
+        limit: int = LIMIT,
+        parts: bool = False,
+        special: list[str] | None = None,
+    ):
         self.encode_many, self.glue, self.limit = encode_many, glue, limit
+        self.parts, self.special = parts, special or []
         #: Values of chunks as they are, and of chunks that follow one blank (keyed without it);
         #: each has a young generation and the one before, from which what is used moves back.
         self.plain: list[dict[str, object]] = [{}, {}]
@@ -105,30 +150,50 @@ class ChunkTable:
             self.plain[:] = {}, young
         return found
 
+    def _words(self, texts: list[str], odd: list[int], kind: pa.DataType) -> tuple[np.ndarray, np.ndarray, list]:
+        """Number of each word of all texts, where each text's words end, the values; an odd text is one word."""
+        whole = [texts[i] for i in odd]
+        for i in odd:
+            texts[i] = ""
+        lists = pc.split_pattern(pc.replace_substring(pa.array(texts, kind), "\n", " "), " ")
+        coded = lists.values.dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        bounds, codes = lists.offsets.to_numpy(), coded.indices.to_numpy().copy()
+        # A whole text stands where its empty substitute was.
+        codes[bounds[1:][odd] - 1] = len(different) + np.arange(len(odd))
+        return codes, bounds[1:], self._each(different + whole)
+
+    def _glued(self, texts: list[str], odd: list[int], kind: pa.DataType) -> tuple[np.ndarray, np.ndarray, list]:
+        """Number of each chunk of all texts, where each text's chunks end, the values; an odd text is one chunk."""
+        plain = pa.array(texts, kind)
+        large = pa.types.is_large_string(plain.type)
+        bounds = np.frombuffer(plain.buffers()[1], np.int64 if large else np.int32)[: len(plain) + 1]
+        data = plain.buffers()[2]
+        if not bounds[-1]:
+            return np.empty(0, np.int32), np.zeros(len(plain), np.int64), []
+        uncut = [i for i, t in enumerate(texts) if any(s in t for s in self.special)] if self.parts else []
+        at = cuts(np.frombuffer(data, np.uint8)[: bounds[-1]], bounds, odd, self.parts, uncut)
+        array = pa.LargeStringArray if large else pa.StringArray
+        coded = array.from_buffers(len(at) - 1, pa.py_buffer(at.astype(bounds.dtype)), data).dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        return coded.indices.to_numpy(), np.searchsorted(at, bounds[1:]), self._each(different)
+
     def ids(self, batch: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, ``end`` after each (null: empty), and their number in each.
 
-        For tables without glue whose values are little-endian 32-bit ids.
+        For tables whose values are little-endian 32-bit ids.
         """
         texts = [t or "" for t in batch.to_pylist()]
         odd = [i for i, t in enumerate(texts) if has_odd_space(t)]
-        whole = [texts[i] for i in odd]
-        for i in odd:
-            texts[i] = ""
-        plain = pa.array(texts, batch.type)
+        numbers, stops, values = (self._glued if self.glue else self._words)(texts, odd, batch.type)
         del texts
-        lists = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
-        bounds = lists.offsets.to_numpy()
-        coded = lists.values.dictionary_encode()
-        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        values = [*self._each(different + whole), end]
-        # Each text's words and its end; a whole text stands where its empty substitute was.
-        codes = np.full(bounds[-1] + len(plain), len(values) - 1, np.int32)
-        stops = bounds[1:] + np.arange(len(plain))
+        values.append(end)
+        # Each text's chunks and its end.
+        codes = np.full(len(numbers) + len(stops), len(values) - 1, np.int32)
+        stops = stops + np.arange(len(stops))
         own = np.ones(len(codes), bool)
         own[stops] = False
-        codes[own] = coded.indices.to_numpy()
-        codes[stops[odd] - 1] = len(different) + np.arange(len(odd))
+        codes[own] = numbers
         sizes = np.array([len(v) // 4 for v in values], np.int64)
         starts, known = sizes.cumsum() - sizes, np.frombuffer(b"".join(values), "<i4")
         n = sizes[codes]

@@ -71,15 +71,20 @@ def pieces(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk_ids = id_bytes(path, True)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             rows: list[tuple] = []
             where: list[int] = []
-            parts = chunk_ids.values([t or "" for t in batch.column(1).to_pylist()])
-            for i, found in enumerate(parts):
-                ids = b"".join(found) + end
-                n, crc = len(ids) // 4, zlib.crc32(ids)
+            flat, counts = chunk_ids.ids(batch.column(1), end)
+            ids = memoryview(flat).cast("B")
+            at = 0
+            for i, n in enumerate(counts.tolist()):
+                doc = ids[4 * at : 4 * (at + n)]
+                at += n
+                crc = zlib.crc32(doc)
                 for s in range(0, n, length):
-                    own = ids[4 * s : 4 * (s + length)]
-                    rows.append((s, len(own) // 4, zlib.crc32(own), n, crc))
+                    own = doc[4 * s : 4 * (s + length)]
+                    rows.append((s, len(own) // 4, zlib.crc32(own) if n > length else crc, n, crc))
                     where.append(i)
             cols = np.array(rows, dtype=np.int64).reshape(-1, 5).T
             yield pa.RecordBatch.from_arrays(

@@ -111,4 +111,4 @@ def id_bytes(path: str, glue: bool) -> ChunkTable:
             for c in chunks
         ]
 
-    return ChunkTable(encode_many, glue)
+    return ChunkTable(encode_many, glue, parts=bool(pieces) and not lower, special=special)

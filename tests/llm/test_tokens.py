@@ -115,6 +115,38 @@ def test_words_of_a_batch_are_looked_up_once(odd_docs):
     id_bytes.cache_clear()
 
 
+def test_chunks_of_a_batch_are_looked_up_once(odd_docs):
+    path, rng, seen = vocabulary("byte_bpe_50k.json"), np.random.default_rng(5), []
+    texts = [r.text for r in odd_docs.select("text").collect()]
+    texts += ["one, two. one\nOne, one", "one", "\none", "x\n\n\ny", "a<|endoftext|>, b\nc", "<|endoftext|", "\n", ""]
+    parts = [*"ab Zé×÷ñ中…'.,;!|<>&7\n", " ", "\n", "'s", "'ll", "<|endoftext|>", "word", "  ", "\u0301", "\u2003", "\t"]
+    for n in range(1500):
+        some = parts if n % 2 else parts[:-2]
+        texts.append("".join(rng.choice(some, rng.integers(0, 12 if n % 3 else 60))))
+
+    class Counting(dict):
+        def get(self, key, default=None):
+            seen.append(key)
+            return dict.get(self, key, default)
+
+    table, library = id_bytes(path, True), Tokenizer.from_file(path)
+    table.plain[:] = Counting(), {}
+    end = (1).to_bytes(4, "little")
+    for limit in (table.limit, 1):
+        table.limit = limit
+        for kind in (pa.string(), pa.large_string()):
+            for own in (texts, texts[::-1], ["", None], [None], ["\t"], ["", "a"], []):
+                flat, counts = table.ids(pa.array(own, kind), end)
+                want = [[*library.encode(t or "", add_special_tokens=False).ids, 1] for t in own]
+                assert flat.tolist() == [i for w in want for i in w]
+                assert counts.tolist() == [len(w) for w in want]
+            if limit > 1:
+                assert seen.count(" one") == seen.count("one") == seen.count(",") == 2  # once in each batch
+                assert "one," not in seen and "\nOne," not in seen
+                seen.clear()
+    id_bytes.cache_clear()
+
+
 def test_token_files_have_indexes_that_look_ups_use(spark, tmp_path):
     docs = spark.range(60_000).selectExpr("id * 2 AS doc_id", "CONCAT('word ', id % 7) AS text").coalesce(1)
     out = str(tmp_path / "o")
