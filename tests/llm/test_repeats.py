@@ -6,6 +6,7 @@ import pytest
 from tarn.llm import queries as q
 from tarn.llm import repeats
 from tarn.llm.bwt import repeated_starts
+from tarn.llm.common import materialize
 
 
 def removed(texts, least):
@@ -105,6 +106,27 @@ def test_other_lengths_and_crowded_grams(spark, least, batch, monkeypatch):
     assert got == sorted(want, key=str)
 
 
+def test_groups_keep_a_shuffle_of_their_own_after_a_join_on_the_gram(spark):
+    """Spark may turn a sort-merge join into a broadcast join while running and read its rows by map task."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    rows = [
+        (gram, half, 1, (half, 2 * gram + half, 0, 2, (f"x{letter * 3}", f"{letter * 3}y")[half].encode()))
+        for gram, letter in enumerate("abcdefghi")
+        for half in range(2)
+    ]
+    one = "struct<rk: long, doc_id: long, at: long, windows: long, bytes: binary>"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        counts = materialize(spark.createDataFrame(rows, f"gram long, hash long, n long, one {one}"), "counts")
+        few = counts.join(repeats._shared(counts), "gram").select("one.*", "gram", "n", "many").where("NOT many")
+        found = repeats._compared(few, 3)
+        assert "REPARTITION_BY_COL" in found._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.doc_id, r.start, r.stop) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == sorted((2 * gram + half, 1 - half, 4 - half) for gram in range(9) for half in range(2))
+
+
 def test_odd_and_whole_tables(spark, odd_docs, no_docs):
     rows = repeats.find_repeats(odd_docs).collect()
     assert len(rows) == odd_docs.count()
